@@ -65,4 +65,4 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text (null: none), as the fixed class of ASCII white space splits it."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
