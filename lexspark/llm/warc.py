@@ -119,6 +119,8 @@ def _candidates(with_payload: bool):
                             row[9] = fields.get("warc-payload-digest", "").removeprefix("sha1:")
                 pos += span
                 rows.append(row)
+            if not rows:
+                continue
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATE.split(", ")]).astype({k: "Int64" for k in ("next", "payload_bytes", "declared")})
 
     return run
