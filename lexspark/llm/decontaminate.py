@@ -23,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 WINDOW = 8
 LITERALS = 4
 LONG = 20
 BROADCAST_WINDOWS = 2_000_000
+#: Leaking ids are broadcast up to this many, else joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 TOKEN = r"[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*|[.!?\n]"
 MARKS = [".", "!", "?", "\n"]
 #: Words that count as units after a number.
@@ -111,5 +113,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the documents that hold a benchmark item."""
     bad = stored(leaks(docs, benchmark, text, key).select(F.col("doc_id").alias("l_doc"), F.col("text_hash").alias("l_hash")).distinct(), "leaks")
+    bad = small(bad, BROADCAST_IDS)
     same = docs[key].eqNullSafe(bad["l_doc"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == bad["l_hash"])
     return docs.join(bad, same, "left_anti")

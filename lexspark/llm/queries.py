@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dup, quality, secrets, token_counts, url_filter, warc
+from . import decontaminate, interpolation, line_dedup, near_dup, quality, secrets, segmentations, token_counts, url_filter, warc
 from .common import table
 
 #: The rules (host, path, verdict) of op9.
@@ -24,6 +24,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_interpolated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = near_dup.classes(table(spark, sf_dir, "documents"))
     return c.select("doc_id", "class_id")
@@ -37,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentations.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,7 +63,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_near_duplicates, op4_warc_round_trip, op5_quality_rules, op7_token_counts, op8_line_dedup, op9_url_filter, op10_secret_scan)
+    f.__name__: f for f in (op1_decontamination, op2_interpolated_score, op3_near_duplicates, op4_warc_round_trip, op5_quality_rules, op6_sampled_segmentations, op7_token_counts, op8_line_dedup, op9_url_filter, op10_secret_scan)
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)

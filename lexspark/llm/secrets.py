@@ -123,8 +123,8 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", scope: int
     return out.select(F.col("s_doc").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(written(F.col("s_base")), 256).alias("base_sha256"), written(every).alias("spans"))
 
 
-def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """docs with every span, overlapping ones as one, replaced by mask. Other columns stay."""
+def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str = "[SECRET]", scope: int = SCOPE, count: str | None = None) -> DataFrame:
+    """docs with every span, overlapping ones as one, replaced by mask; column count, if named, gets the new length. Others stay."""
     found = scanned(docs, text, key)
     out = found.join(stored(linked(stored(found.select("s_key", "s_base", "s_weak"), "secret-spans"), scope), "secret-links"), "s_key", "left")
     out = out.withColumn("s_all", F.sort_array(F.concat("s_base", F.coalesce("s_more", F.array().cast(SPAN)))))
@@ -135,4 +135,8 @@ def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("s_all", begin, add, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return out.withColumn(text, F.when(F.size("s_all") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
+    masked = F.size("s_all") > 0
+    out = out.withColumn(text, F.when(masked, clean).otherwise(F.col(text)))
+    if count:
+        out = out.withColumn(count, F.when(masked, F.length(text).cast(docs.schema[count].dataType)).otherwise(F.col(count)))
+    return out.select(*docs.columns)
