@@ -44,7 +44,7 @@ SLOTS = ["<num>", "<unit>", "<name>"]
 
 
 def templates(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with column out: (h, v, slot) for each template token, h hashing the token and v the value in the text."""
+    """df with column out, (low, slot) for each template token with its value in the text, and out_h, the hashes of the tokens."""
     toks = F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
     df = df.withColumn("t_tok", toks).withColumn("t_low", F.transform("t_tok", lambda t: F.lower(t)))
     digit = lambda t: F.substring(t, 1, 1).between("0", "9")
@@ -52,19 +52,21 @@ def templates(df: DataFrame, text: str, out: str) -> DataFrame:
     def slot(t: Column, i: Column) -> Column:
         before, low = F.get("t_tok", i - 1), F.get("t_low", i)
         name = (t != low) & ((F.length(t) == 1) | (F.substring(t, F.lit(2), F.length(t)) == F.substring(low, F.lit(2), F.length(t))))
-        return F.when(t.isin(MARKS), -1).when(digit(t), 1).when(digit(before) & low.isin(UNITS), 2).when((i > 0) & name & ~before.isin(MARKS), 3).otherwise(0)
+        plain = F.when(low.isin(UNITS) & digit(before), 2).otherwise(0)
+        # most words are in lower case: one comparison settles them
+        return F.when((t >= "a") & (t == low), plain).when(t.isin(MARKS), -1).when(digit(t), 1).when(low.isin(UNITS) & digit(before), 2).when((i > 0) & name & ~before.isin(MARKS), 3).otherwise(0)
 
     kinds = F.transform("t_tok", lambda t, i: F.struct(F.get("t_low", i).alias("low"), slot(t, i).alias("slot")))
-    df = df.withColumn("t_kind", F.filter(kinds, lambda x: x["slot"] >= 0))
+    df = df.withColumn(out, F.filter(kinds, lambda x: x["slot"] >= 0))
     names = F.array(*map(F.lit, SLOTS))
-    token = F.transform("t_kind", lambda x: F.struct(F.xxhash64(F.when(x["slot"] > 0, F.get(names, x["slot"] - 1)).otherwise(x["low"])).alias("h"), F.xxhash64(x["low"]).alias("v"), x["slot"].alias("slot")))
-    return df.withColumn(out, token).drop("t_tok", "t_low", "t_kind")
+    hashed = F.transform(out, lambda x: F.when(x["slot"] == 0, F.xxhash64(x["low"])).otherwise(F.xxhash64(F.get(names, x["slot"] - 1))))
+    return df.withColumn(f"{out}_h", hashed).drop("t_tok", "t_low")
 
 
 def windows(tokens: str, sizes: list[int]) -> Column:
     """(pos, size, hash) of every window of the given sizes."""
     def each(n: int) -> Column:
-        hashed = lambda i: F.xxhash64(F.lit(n), *[F.get(tokens, i + k)["h"] for k in range(n)])
+        hashed = lambda i: F.xxhash64(F.lit(n), *[F.get(tokens, i + k) for k in range(n)])
         made = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("size"), hashed(i).alias("hash")))
         return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<struct<pos:int,size:int,hash:bigint>>"))
 
@@ -74,11 +76,11 @@ def windows(tokens: str, sizes: list[int]) -> Column:
 def item_windows(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> tuple[DataFrame, list[int]]:
     """Windows of the benchmark and the sizes that occur (at most WINDOW of them)."""
     b = templates(benchmark.select(F.col(key).alias("item_id"), F.col(text).alias("b_text")), "b_text", "b_tok")
-    b = stored(b.select("item_id", "b_tok", F.size("b_tok").alias("item_tokens")).where("item_tokens > 0"), "leak-items")
+    b = stored(b.select("item_id", "b_tok", "b_tok_h", F.size("b_tok").alias("item_tokens")).where("item_tokens > 0"), "leak-items")
     sizes = sorted({min(WINDOW, r[0]) for r in b.select(F.least("item_tokens", F.lit(WINDOW))).distinct().collect()})
     if not sizes:
         sizes = [WINDOW]
-    w = b.select("item_id", "item_tokens", "b_tok", F.explode(windows("b_tok", sizes)).alias("w"))
+    w = b.select("item_id", "item_tokens", "b_tok", F.explode(windows("b_tok_h", sizes)).alias("w"))
     w = w.where(F.col("w.size") == F.least("item_tokens", F.lit(WINDOW)))
     w = w.select("item_id", "item_tokens", F.col("w.pos").alias("b_pos"), F.col("w.hash").alias("hash"), F.slice("b_tok", F.col("w.pos") + 1, F.col("w.size")).alias("b_part"))
     w = w.where(F.size(F.filter("b_part", lambda x: x["slot"] == 0)) >= LITERALS)
@@ -90,10 +92,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     w, sizes = item_windows(benchmark)
     w = F.broadcast(w) if w.count() <= BROADCAST_WINDOWS else w
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"), F.col(text).alias("d_text"))
-    d = templates(d, "d_text", "d_tok").withColumn("d_win", windows("d_tok", sizes))
+    d = templates(d, "d_text", "d_tok").withColumn("d_win", windows("d_tok_h", sizes))
     # outer: an inner explode infers a filter that would compute the arrays once more, inside the lambdas
     hits = d.select("doc_id", "text_hash", "d_tok", F.explode_outer("d_win").alias("d_w")).withColumn("hash", F.col("d_w.hash")).join(w, "hash")
-    pair = F.zip_with("b_part", F.slice("d_tok", F.col("d_w.pos") + 1, F.col("d_w.size")), lambda b, x: F.struct(b["v"].alias("b"), x["v"].alias("d"), b["slot"].alias("slot")))
+    pair = F.zip_with("b_part", F.slice("d_tok", F.col("d_w.pos") + 1, F.col("d_w.size")), lambda b, x: F.struct(b["low"].alias("b"), x["low"].alias("d"), b["slot"].alias("slot")))
     hits = hits.select("doc_id", "text_hash", "item_id", "item_tokens", "b_pos", F.col("d_w.size").alias("size"), (F.col("d_w.pos") - F.col("b_pos")).alias("shift"), F.transform(F.filter(pair, lambda x: x["slot"] > 0), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))).alias("slots"))
     keys = ["doc_id", "text_hash", "item_id", "item_tokens", "size"]
     # Sets of one alignment are bounded by the item's length.
