@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 SAMPLES = 2
 SPACE = "▁"
 #: Characters whose lattices are held at a time, about; a longer text stands alone.
-CHARS = 6_000_000
+CHARS = 2_000_000
 OUT = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, decodes boolean"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
