@@ -15,7 +15,9 @@ Candidates come from the buckets without listing all pairs of a bucket:
    ``similarity`` are links, connected links are classes;
 2. where a bucket still holds several classes, pairs of different classes are
    compared by signature in blocks of BLOCK nodes, so a bucket of any size is
-   done whole by many tasks; those within reach of the threshold are verified.
+   done whole by many tasks; those within reach of the threshold are verified
+   there, each in the first band that it shares, and a block puts out only the
+   links that join classes.
 
 So no pair that meets in a bucket and is similar enough ends in two classes.
 A pair at similarity 0.8 meets in a bucket with probability 0.9999.
@@ -105,8 +107,11 @@ def weighted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Exact, for two lists of shingles with repeats: sum over common x of 1 / sum over y of max(a_y / a_x, b_y / b_x)."""
-    x, xn = np.unique(a, return_counts=True)
-    y, yn = np.unique(b, return_counts=True)
+    return _jaccard(*np.unique(a, return_counts=True), *np.unique(b, return_counts=True))
+
+
+def _jaccard(x: np.ndarray, xn: np.ndarray, y: np.ndarray, yn: np.ndarray) -> float:
+    """The same, for different elements in order with their counts."""
     both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not len(both):
         return float(not len(x) and not len(y))
@@ -133,7 +138,7 @@ def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k in range(rows):
                 key = _mix(key * _GOLD + sig[:, k::rows])
             key = _mix(key ^ np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
-            short = (sig >> np.uint64(48)).astype(np.uint16)
+            short = (sig >> np.uint64(32)).astype(np.uint32)
             filled = np.array([len(x) > 0 for x in p["shingles"]], bool)
             yield pd.DataFrame({
                 "doc_id": p["doc_id"].astype("Int64"), "node": p["node"], "text_hash": p["text_hash"],
@@ -170,15 +175,19 @@ def _similar(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": part["a"], "b": part["b"], "similarity": s})
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
-    """Links among pairs (a, b), by the exact similarity of their texts, which are read again for these nodes only."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def shingled(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, s): the shingles of the wanted nodes, whose texts are read again."""
     ids = stored(nodes.select("node", "rep").join(wanted, "node", "left_semi"), "asked")
     has = small(ids.select(F.col("rep").alias("rep_id")).distinct(), BROADCAST_IDS)
     d = docs.join(has, docs[key].cast("long").eqNullSafe(F.col("rep_id")), "left_semi")
     d = _read(d, text, key).select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("s"))
-    texts = d.join(ids.select("node").withColumnRenamed("node", "asked"), F.col("node") == F.col("asked"), "left_semi").dropDuplicates(["node"])
-    texts = stored(texts, "asked-texts")
+    return d.join(ids.select(F.col("node").alias("asked")), F.col("node") == F.col("asked"), "left_semi").select("node", "s").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
+    """Links among pairs (a, b), by the exact similarity of their texts."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = stored(shingled(wanted, docs, nodes, text, key), "asked-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("s").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("s").alias("right")), "b")
     links = both.mapInPandas(_similar, "a binary, b binary, similarity double")
     return stored(links.where(F.col("similarity") >= similarity), "links")
@@ -187,18 +196,33 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, key
 def _across(similarity: float):
     reach = int(M * similarity - 3.5 * np.sqrt(M * similarity * (1 - similarity)))
 
-    def pairs_of(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), M)
-        root = pd.factorize(g["root"])[0]
+    def links_of(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        """Links between different classes, only as many as join classes. Each pair is looked at in the first band that it shares."""
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), M)
+        root, band = pd.factorize(g["root"])[0], int(g["band"].iloc[0])
         own, low, high = g["own"].to_numpy(), g["low"].iloc[0], g["high"].iloc[0]
         one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found = []
+        lists = [np.unique(np.asarray(x), return_counts=True) for x in g["s"]]
+        up = list(range(int(root.max()) + 1))
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
         for i in one:
             other = two[(root[two] != root[i]) & ((low != high) | (two > i))]
-            near = other[(sig[other] == sig[i]).sum(axis=1) >= reach]
-            found += [(i, j) for j in near]
-        x = np.array(found, int).reshape(-1, 2)
-        return x[:, 0], x[:, 1]
+            same = sig[other] == sig[i]
+            first = same.reshape(len(other), BANDS, M // BANDS).all(axis=2).argmax(axis=1)
+            n = same.sum(axis=1)
+            at = np.flatnonzero((n >= reach) & (first == band))
+            for k in at[np.argsort(-n[at], kind="stable")]:
+                j = other[k]
+                x, y = top(int(root[i])), top(int(root[j]))
+                if x != y and _jaccard(*lists[i], *lists[j]) >= similarity:
+                    up[x] = y
+                    yield i, j
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -214,11 +238,11 @@ def _across(similarity: float):
             yield from made(rest)
 
     def made(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        i, j = pairs_of(g)
-        if not len(i):
+        if g["root"].nunique() < 2:
             return
-        a, b = g["node"].to_numpy()[i], g["node"].to_numpy()[j]
-        yield pd.DataFrame({"a": [min(x, y) for x, y in zip(a, b)], "b": [max(x, y) for x, y in zip(a, b)]})
+        node = g["node"].tolist()
+        if found := list(links_of(g)):
+            yield pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]})
 
     return run
 
@@ -227,7 +251,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     """doc_id, text_hash, node, class_id and class_node for each row of docs."""
     rows = stored(signed(docs, text, key), "signatures")
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    b = nodes.select("node", F.explode("bands").alias("bucket"))
+    b = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     lead = b.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), F.col("node").alias("id")))["id"].alias("leader")).where("n > 1")
     shared = stored(b.join(stored(lead, "leaders"), "bucket"), "buckets")
     pairs = stored(shared.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
@@ -235,18 +259,19 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     roots = components(links)
 
     # Buckets that still hold several classes.
-    member = shared.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    member = shared.join(roots, "node", "left").select("bucket", "band", "node", "n", F.coalesce("root", "node").alias("root"))
     member = stored(member, "members")
     mixed = member.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cross = member.join(stored(mixed, "mixed"), "bucket").join(nodes.select("node", "sig"), "node")
+    cross = stored(member.join(stored(mixed, "mixed"), "bucket"), "cross")
+    texts = shingled(cross.select("node").distinct(), docs, nodes, text, key)
+    cross = cross.join(stored(texts.join(nodes.select("node", "sig"), "node"), "cross-texts"), "node")
     cross = cross.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cross = cross.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "sig")
+    cross = cross.select("bucket", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "sig", "s")
     cross = cross.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
-    more = cross.mapInPandas(_across(similarity), "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "cross-pairs")
+    more = stored(cross.mapInPandas(_across(similarity), "a binary, b binary"), "cross-links")
     if more.limit(1).count():
-        roots = components(links.union(verified(more, docs, nodes, text, key, similarity).select("a", "b")))
+        roots = components(links.union(more))
 
     rooted = stored(nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("f"))
