@@ -1,6 +1,13 @@
-"""All named queries and their SQL."""
+"""All named queries, each with the SQL that must give the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .plans import names, search, text, vocabulary
+
+_PARTS = (text, vocabulary, names, search)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for part in _PARTS for k, s in part.ORACLE_SQL.items()}
