@@ -24,6 +24,7 @@ fold's checksum.  Repeated rows are counted, and scored, each.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ ROUNDS = 40
 #: Steps of a doubling in which held-out n-grams of like probability are pooled.
 POOL = 8
 NONE = -(1 << 20)
+#: Texts whose pairs are sorted at a time.
+TEXTS = 2500
 #: Occurrences for one task, about.
 SHARE = 3_000_000
 
@@ -64,7 +67,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _input(docs: DataFrame, text: str, key: str) -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(name, t).alias("key"), (F.crc32(name.cast("binary")) % FOLDS).cast("int").alias("fold"), t.alias("text"))
+    # Numbers with nulls would pass through floats in pandas: a missing id is a flag.
+    number = F.col(key).cast("long")
+    return docs.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNotNull().alias("has_id"), F.xxhash64(name, t).alias("key"), (F.crc32(name.cast("binary")) % FOLDS).cast("int").alias("fold"), t.alias("text"))
 
 
 class _Cache(dict):
@@ -82,19 +87,15 @@ class _Cache(dict):
 
 
 def _unigrams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = _Cache(_hash)
     for part in parts:
-        sizes, flat = [], []
-        for t in part["text"]:
-            w = tokens(t)
-            sizes.append(len(w))
-            flat.append(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)))
-        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-        fold = np.repeat(part["fold"].to_numpy(), sizes)
-        train, kept = fold != HELD_OUT, (fold != HELD_OUT) & (fold != DELETED)
-        if train.any():
-            word, at = np.unique(flat[train], return_inverse=True)
-            yield pd.DataFrame({"word": _signed(word), "c": np.bincount(at, minlength=len(word)), "r": np.bincount(at, kept[train], len(word)).astype(np.int64)})
+        part = part[part["fold"] != HELD_OUT]
+        index: dict[bytes, int] = defaultdict(lambda: len(index))
+        ids = [np.array(list(map(index.__getitem__, tokens(t))), np.int64) for t in part["text"]]
+        if not index:
+            continue
+        kept = [i for i, f in zip(ids, part["fold"]) if f != DELETED]
+        count = lambda x: np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]), minlength=len(index))
+        yield pd.DataFrame({"word": _signed(np.array([_hash(w) for w in index], np.uint64)), "c": count(ids), "r": count(kept)})
 
 
 class Symbols:
@@ -134,75 +135,101 @@ def symbols(counts: DataFrame, docs: int, kept_docs: int, head: int) -> Symbols:
     return Symbols(col("word"), col("c"), col("r"), {"c": total.c or 0, "r": total.r or 0, "v": total.v, "docs": docs, "kept_docs": kept_docs})
 
 
-def _texts(shared):
-    """For each text: its known tokens and base score so far, and the hashes of its rare words."""
+def _pairs(shared, parts_n: int):
+    """Sorted pairs of symbols of the training texts for each partition, counted by kept (x) and deleted (y) texts."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s: Symbols = shared.value
         ids = _Cache(s.find)
-        n, v = s.total["c"] + s.total["docs"], s.total["v"] + (s.total["docs"] > 0)
-        base = np.log10((s.c + ALPHA) / (n + ALPHA * (v + 1)))
-        for part in parts:
-            out = []
-            for t in part["text"]:
-                w = tokens(t)
-                i = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-                rare = np.array([_hash(w[k]) for k in np.flatnonzero(i == s.rare)], np.uint64).view(np.int64)
-                common = i[i != s.rare]
-                out.append((len(w) + 1, len(common) + (s.total["docs"] > 0), base[common].sum() + base[s.end], rare))
-            if out:
-                n_tokens, known, score, rare = zip(*out)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "key": part["key"], "fold": part["fold"], "n_tokens": n_tokens, "known": known, "base": score, "rare": list(rare)})
+        for whole in parts:
+            for at in range(0, len(whole), TEXTS):
+                part = whole.iloc[at : at + TEXTS]
+                part = part[part["fold"] != HELD_OUT]
+                if not len(part):
+                    continue
+                pair, sizes = _symbol_pairs(s, ids, part["text"])
+                kept = np.repeat((part["fold"].to_numpy() != DELETED).astype(np.int64), sizes)
+                # One sort of packed numbers: pair, then whether the text is kept.
+                pair = np.sort((pair << 1) | kept)
+                kept, pair = pair & 1, pair >> 1
+                new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+                r, n = np.add.reduceat(kept, new), np.diff(np.append(new, len(pair)))
+                pair = pair[new]
+                order = np.argsort(to := _part_of(pair, parts_n), kind="stable")
+                pair, to, r, n = pair[order], to[order], r[order].astype(np.int32), n[order].astype(np.int32)
+                edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                rows = [(to[a], np.diff(pair[a:b], prepend=0), r[a:b], n[a:b] - r[a:b]) for a, b in zip(edge, [*edge[1:], len(to)])]
+                yield pd.DataFrame(rows, columns=["part", "step", "x", "y"])
 
     return run
 
 
-def _pairs(shared, parts_n: int, scoring: bool):
-    """Sorted pairs of symbols for each partition: with the texts they are in (scoring), or counted by kept and deleted texts."""
+def _symbol_pairs(s: Symbols, ids: _Cache, texts) -> tuple[np.ndarray, list[int]]:
+    pairs, sizes = [], []
+    for t in texts:
+        w = tokens(t)
+        i = np.empty(len(w) + 2, np.int64)
+        i[0], i[-1] = s.start, s.end
+        i[1:-1] = list(map(ids.__getitem__, w))
+        pairs.append((i[:-1] << BITS) | i[1:])
+        sizes.append(len(w) + 1)
+    return np.concatenate(pairs), sizes
+
+
+def _part_of(pair: np.ndarray, parts_n: int) -> np.ndarray:
+    return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts_n
+
+
+TEXT = {"is_text": "boolean", "doc_id": "long", "has_id": "boolean", "key": "long", "fold": "int", "n_tokens": "long", "known": "long", "base": "double", "rare": "array<long>"}
+NO_TEXT = (False, 0, False, 0, 0, 0, 0, 0.0, None)
+_TEXT = ", ".join(f"{k} {v}" for k, v in TEXT.items())
+SCAN = f"part int, step array<long>, x array<int>, keys array<long>, train array<int>, {_TEXT}"
+
+
+def _scanned(shared, parts_n: int):
+    """For each partition, sorted pairs with the texts that they are in; and a row for each text.
+
+    A text's row has its known tokens and base score so far, and the hashes of its rare words.
+    """
+    columns = [x.split()[0] for x in SCAN.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s: Symbols = shared.value
         ids = _Cache(s.find)
+        n, v = s.total["c"] + s.total["docs"], s.total["v"] + (s.total["docs"] > 0)
+        base = np.log10((s.c + ALPHA) / (n + ALPHA * (v + 1)))
+        base[s.rare] = 0.0
         for whole in parts:
-            for at in range(0, len(whole), 2500):
-                part = whole.iloc[at : at + 2500]
-                part = part if scoring else part[part["fold"] != HELD_OUT]
-                if not len(part):
-                    continue
-                pair, sizes = [], []
-                for t in part["text"]:
-                    w = tokens(t)
-                    i = np.empty(len(w) + 2, np.int64)
-                    i[0], i[-1] = s.start, s.end
-                    i[1:-1] = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-                    pair.append((i[:-1] << BITS) | i[1:])
-                    sizes.append(len(w) + 1)
-                pair = np.concatenate(pair)
-                doc = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
-                to = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts_n
-                order = np.lexsort((pair, to))
-                pair, doc, to = pair[order], doc[order], to[order]
-                if not scoring:
-                    new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-                    kept = (part["fold"].to_numpy() != DELETED)[doc].astype(np.int64)
-                    r, n = np.add.reduceat(kept, new), np.diff(np.append(new, len(pair)))
-                    pair, to, r, d = pair[new], to[new], r.astype(np.int32), (n - r).astype(np.int32)
-                edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-                rows = []
+            for at in range(0, len(whole), TEXTS):
+                part = whole.iloc[at : at + TEXTS]
+                pair, sizes = _symbol_pairs(s, ids, part["text"])
+                doc = np.repeat(np.arange(len(part)), sizes)
+                second = pair & ((1 << BITS) - 1)
+                score = np.bincount(doc, base[second], len(part))
+                is_rare = second == s.rare
+                n_rare = np.bincount(doc[is_rare], minlength=len(part))
+                begin = np.cumsum(sizes) - sizes
+                rare = [None] * len(part)
+                for d in np.flatnonzero(n_rare):
+                    w = tokens(part["text"].iloc[d])
+                    where = np.flatnonzero(is_rare[begin[d] : begin[d] + sizes[d]])
+                    rare[d] = np.array([_hash(w[k]) for k in where], np.uint64).view(np.int64)
                 keys, fold = part["key"].to_numpy(), part["fold"].to_numpy()
+                known = np.array(sizes) - n_rare - (s.total["docs"] == 0)
+                rows = [(k % parts_n, None, None, None, None, True, i, h, k, *rest) for k, i, h, *rest in zip(keys.tolist(), part["doc_id"].tolist(), part["has_id"].tolist(), fold.tolist(), sizes, known.tolist(), score.tolist(), rare)]
+                to = _part_of(pair, parts_n)
+                order = np.argsort((to << 2 * BITS) | pair)
+                pair, doc, to = pair[order], doc[order].astype(np.int32), to[order]
+                edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
                 for a, b in zip(edge, [*edge[1:], len(to)]):
-                    step = np.diff(pair[a:b], prepend=0)
-                    if scoring:
-                        here, doc_at = np.unique(doc[a:b], return_inverse=True)
-                        rows.append((to[a], step, doc_at.astype(np.int32), None, keys[here], (fold[here] != HELD_OUT).astype(np.int32)))
-                    else:
-                        rows.append((to[a], step, r[a:b], d[a:b], None, None))
-                yield pd.DataFrame(rows, columns=["part", "step", "x", "y", "keys", "train"])
+                    here, doc_at = np.unique(doc[a:b], return_inverse=True)
+                    rows.append((to[a], np.diff(pair[a:b], prepend=0), doc_at.astype(np.int32), keys[here], (fold[here] != HELD_OUT).astype(np.int32), *NO_TEXT))
+                yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
-PAIRS = "part int, step array<long>, x array<int>, y array<int>, keys array<long>, train array<int>"
+PAIRS = "part int, step array<long>, x array<int>, y array<int>"
 
 
 def _pooled(shared):
@@ -255,14 +282,22 @@ def learned(cells: list[tuple[int, int, int, int]], buckets: int = 64) -> np.nda
     return out
 
 
-def _scored(shared, weights: np.ndarray):
-    """Each text's sum of log10 probabilities over the pairs of a partition."""
+SUMS = f"part int, keys array<long>, s array<double>, {_TEXT}"
+
+
+def _scored(shared, weights: np.ndarray, parts_n: int):
+    """Sums of log10 probabilities over the pairs of a partition, packed by the partition of their text; the texts' rows pass through."""
+    columns = [x.split()[0] for x in SUMS.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s: Symbols = shared.value
         pair, doc, keys, train, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
         for part in parts:
-            for step, x, k, t in zip(part["step"], part["x"], part["keys"], part["train"]):
+            is_text = part["is_text"]
+            if is_text.any():
+                yield part.loc[is_text, ["part", *TEXT]].assign(keys=None, s=None)[columns]
+            pairs = part[~is_text]
+            for step, x, k, t in zip(pairs["step"], pairs["x"], pairs["keys"], pairs["train"]):
                 pair.append(np.cumsum(step))
                 doc.append(np.asarray(x, np.int32) + np.int32(n))
                 keys.append(np.asarray(k))
@@ -277,11 +312,36 @@ def _scored(shared, weights: np.ndarray):
         bucket, p2, p1, p0 = s.parts(False, pair[new], np.add.reduceat(train[doc].astype(np.int64), new))
         w = weights[bucket]
         log = np.repeat(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0), np.diff(np.append(new, len(pair))))
-        yield pd.DataFrame({"key": keys, "s": np.bincount(doc, log, n)}).groupby("key", as_index=False)["s"].sum()
+        total = np.bincount(doc, log, n)
+        to = keys % parts_n
+        order = np.argsort(to, kind="stable")
+        to, keys, total = to[order], keys[order], total[order]
+        edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        rows = [(to[a], keys[a:b], total[a:b], *NO_TEXT) for a, b in zip(edge, [*edge[1:], len(to)])]
+        yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
+def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text's row with its sum. Equal rows share a key and so a sum, which is divided by their number."""
+    keys, sums, texts = [np.zeros(0, np.int64)], [np.zeros(0)], []
+    for part in parts:
+        is_text = part["is_text"]
+        texts.append(part.loc[is_text, list(TEXT)])
+        keys += list(part.loc[~is_text, "keys"])
+        sums += list(part.loc[~is_text, "s"])
+    if not texts or not sum(map(len, texts)):
+        return
+    t = pd.concat(texts, ignore_index=True)
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate(sums), len(key))
+    mine = np.searchsorted(key, t["key"].to_numpy(np.int64))
+    t["s"] = total[mine] / np.bincount(mine, minlength=len(key))[mine]
+    for a in range(0, len(t), 5000):
+        yield t.iloc[a : a + 5000]
+
+
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
@@ -294,14 +354,14 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int =
     total = s.total["c"] + train
     parts_n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARE)
 
-    pooled = d.select("fold", "key", "text").mapInPandas(_pairs(shared, parts_n, False), PAIRS).select("part", "step", "x", "y").repartition(parts_n, "part")
+    pooled = d.mapInPandas(_pairs(shared, parts_n), PAIRS).repartition(parts_n, "part")
     pooled = pooled.mapInPandas(_pooled(shared), "bucket long, q2 long, q1 long, n long")
     cells = pooled.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).collect()
     weights = learned([tuple(r) for r in cells])
 
-    texts = stored(d.mapInPandas(_texts(shared), "doc_id long, key long, fold int, n_tokens long, known long, base double, rare array<long>"), "lm-texts")
-    pairs = d.select("fold", "key", "text").mapInPandas(_pairs(shared, parts_n, True), PAIRS).select("part", "step", "x", "keys", "train").repartition(parts_n, "part")
-    sums = pairs.mapInPandas(_scored(shared, weights), "key long, s double").groupBy("key").agg(F.sum("s").alias("s"))
+    sums = d.mapInPandas(_scanned(shared, parts_n), SCAN).repartition(parts_n, "part").mapInPandas(_scored(shared, weights, parts_n), SUMS)
+    texts = sums.repartition(parts_n, "part").mapInPandas(_summed, f"{_TEXT}, s double")
+    texts = stored(texts, "lm-texts")
 
     # Rare words: exact counts by a join; absent ones have count 0.
     v, rare_n, rare_v = s.total["v"] + (train > 0), float(s.c[s.rare]), s.total["v"] - s.size
@@ -311,11 +371,13 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int =
         F.sum(F.log10((F.col("c") + ALPHA) / (total + ALPHA * (v + 1)))).alias("more_base"),
         F.sum(F.log10((F.col("c") + ALPHA) / (rare_n + ALPHA * (rare_v + 1)))).alias("more_score"),
     )
-    copies = texts.groupBy("key").agg(F.count("*").alias("copies"))  # equal rows share a key and so a sum
-    per = stored(sums.join(copies, "key").join(rare, "key", "left"), "lm-sums")
-    per = per.select("key", *[(F.coalesce(c, F.lit(0)) / F.col("copies")).alias(c) for c in ("s", "more_known", "more_base", "more_score")])
-    return texts.join(per, "key").select(
-        "doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens",
+    # Equal rows share a key: their rare words were counted once for each of them.
+    copies = texts.where("rare is not null").groupBy("key").agg(F.count("*").alias("copies"))
+    more = ("more_known", "more_base", "more_score")
+    per = stored(rare.join(copies, "key").select("key", *[(F.col(c) / F.col("copies")).alias(c) for c in more]), "lm-rare")
+    both = texts.join(per, "key", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in more})
+    return both.select(
+        F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens",
         (F.col("known") + F.round("more_known").cast("long")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("more_base")).alias("base_score"),

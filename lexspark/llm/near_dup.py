@@ -141,14 +141,17 @@ def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             short = (sig >> np.uint64(32)).astype(np.uint32)
             filled = np.array([len(x) > 0 for x in p["shingles"]], bool)
             yield pd.DataFrame({
-                "doc_id": p["doc_id"].astype("Int64"), "node": p["node"], "text_hash": p["text_hash"],
+                "doc_id": p["doc_id"], "has_id": p["has_id"], "node": p["node"], "text_hash": p["text_hash"],
                 "bands": [k if f else k[:0] for k, f in zip(key, filled)], "sig": [x.tobytes() for x in short],
             })
 
 
 def signed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    d = _read(docs, text, key).select("doc_id", "node", "text_hash", "shingles")
-    return d.mapInPandas(_signed, "doc_id long, node binary, text_hash long, bands array<long>, sig binary")
+    d = _read(docs, text, key)
+    # Numbers with nulls would pass through floats in pandas: a missing id is a flag.
+    d = d.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "node", "text_hash", "shingles")
+    out = d.mapInPandas(_signed, "doc_id long, has_id boolean, node binary, text_hash long, bands array<long>, sig binary")
+    return out.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ SAMPLES = 2
 SPACE = "▁"
 #: Characters whose lattices are held at a time, about; a longer text stands alone.
 CHARS = 2_000_000
-OUT = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, decodes boolean"
+OUT = "doc_id long, has_id boolean, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, decodes boolean"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -328,16 +328,18 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc
             for _, part in whole.groupby(block.to_numpy(), sort=False):
                 texts = list(part["t"])
                 rows = []
-                for d, t, found in zip(part["doc_id"], texts, sampled(pieces, texts, part["seed"].to_numpy(), samples)):
+                for d, h, t, found in zip(part["doc_id"].tolist(), part["has_id"].tolist(), texts, sampled(pieces, texts, part["seed"].to_numpy(), samples)):
                     plain = t.replace(SPACE, " ")
                     for n, (ids, log, g, inc) in enumerate(found, 1):
-                        rows.append((d, n, ids.astype(np.int32), len(ids), log, g, inc, pieces.decode(ids.tolist()) == plain))
+                        rows.append((d, h, n, ids.astype(np.int32), len(ids), log, g, inc, pieces.decode(ids.tolist()) == plain))
                 if rows:
                     out = pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
-                    yield out.astype({"doc_id": "Int64", "sample": "int32", "n_pieces": "int32"})
+                    yield out.astype({"sample": "int32", "n_pieces": "int32"})
 
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("seed"))
-    return d.mapInPandas(run, OUT)
+    # Numbers with nulls would pass through floats in pandas: a missing id is a flag.
+    number = F.col(key).cast("long")
+    d = docs.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNotNull().alias("has_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("seed"))
+    return d.mapInPandas(run, OUT).withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "text") -> DataFrame:

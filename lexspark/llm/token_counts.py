@@ -91,7 +91,10 @@ def count(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "
                 cache.update(zip(new[at : at + 10_000], _lengths(tokenizer, new[at : at + 10_000])))
             both = {w: first[w] if w in first else cache[w] for w in words} | {"": 0}
             n = [sum(map(both.__getitem__, ws)) for ws in split]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": part["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "has_id": part["has_id"], "n_bytes": part["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    return d.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    # Numbers with nulls would pass through floats in pandas: a missing id is a flag.
+    number = F.col(key).cast("long")
+    d = docs.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNotNull().alias("has_id"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    out = d.mapInPandas(run, "doc_id long, has_id boolean, n_bytes long, n_tokens long, over_limit boolean")
+    return out.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
