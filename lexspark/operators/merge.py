@@ -34,7 +34,7 @@ def merged(candidates: DataFrame, weights: dict[str, float], default: float = 0.
 
 def source_stats(sources: DataFrame, exact: bool = False) -> DataFrame:
     """Statistics of each term over its sources. sources: (term, source, confidence, n)."""
-    r = (lambda c, d=6: c) if exact else (lambda c, d=6: F.round(c, d))
+    r = (lambda c, d=9: c) if exact else (lambda c, d=9: F.round(c, d))
     c, n = F.col("confidence"), F.col("n")
     s = sources.groupBy("term").agg(
         F.sum("n").alias("total"), r(F.sum(c * n) / F.sum(n)).alias("mean"), r(F.min(c)).alias("least"), r(F.max(c)).alias("most"), r(F.stddev_pop(c)).alias("spread"),

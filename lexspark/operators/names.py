@@ -56,27 +56,50 @@ def component_names(terms: DataFrame) -> DataFrame:
     return t.join(parts, (F.col("size") == 1) & (F.col("words")[0] == F.col("w")), "left_anti").drop("words", "size")
 
 
+#: Words up to this length meet by their deletion variants, longer ones by pieces.
+VARIANTS_UP_TO = 24
+
+
+def _variants(term: str, distance: int):
+    """The word without any of its letters, up to ``distance`` times: words within that distance share one."""
+    without = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    level = F.array(F.col(term))
+    every = level
+    for _ in range(distance):
+        level = F.array_distinct(F.flatten(F.transform(level, without)))
+        every = F.concat(every, level)
+    return F.array_distinct(every)
+
+
+def _by_variants(t: DataFrame, distance: int) -> DataFrame:
+    v = t.where(F.length("term") <= VARIANTS_UP_TO).select("term", "n", F.explode(_variants("term", distance)).alias("v"))
+    other = v.select(F.col("term").alias("other"), F.col("n").alias("other_n"), "v")
+    return v.join(other, "v").select("term", "n", "other", "other_n")
+
+
+def _by_pieces(t: DataFrame, distance: int) -> DataFrame:
+    """The word cut into distance + 1 pieces: one stands unchanged in the other word, moved by at most ``distance``."""
+    k = distance + 1
+    t = t.where(F.length("term") > VARIANTS_UP_TO - distance).withColumn("len", F.length("term"))
+    edge = lambda i: F.floor(F.col("len") * i / k).cast("int")
+    piece = F.array(*[F.struct(F.lit(i).alias("i"), edge(i).alias("from"), (edge(i + 1) - edge(i)).alias("size")) for i in range(k)])
+    left = t.select("term", "n", "len", F.explode(piece).alias("p")).select("term", "n", "len", F.col("p.i").alias("i"), F.substring("term", F.col("p.from") + 1, F.col("p.size")).alias("bit"))
+    both = t.select(F.col("term").alias("other"), F.col("n").alias("other_n"), F.explode(F.sequence(F.col("len") - distance, F.col("len") + distance)).alias("len"))
+    both = both.select("other", "other_n", "len", F.explode(piece).alias("p"))
+    both = both.select("other", "other_n", "len", "p", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p.from") - distance), F.col("p.from") + distance)).alias("at"))
+    right = both.select("other", "other_n", "len", F.col("p.i").alias("i"), F.substring("other", F.col("at") + 1, F.col("p.size")).alias("bit")).distinct()
+    return left.join(right, ["len", "i", "bit"]).select("term", "n", "other", "other_n")
+
+
 def typo_pairs(terms: DataFrame, shortest: int = 5, distance: int = 2, ratio: int = 10) -> DataFrame:
-    """(term, canonical, distance): rare words within an edit distance of words ``ratio`` times as frequent; terms: (term, n).
+    """(term, canonical, canonical_n, distance): rare words within an edit distance of words ``ratio`` times as frequent; terms: (term, n).
 
-    Exact without an all-pairs join: if two words differ by at most d edits and
-    the longer one is cut into d + 1 pieces, one piece stands unchanged in the
-    other, moved by at most d places.  Pieces meet substrings in an equi-join.
+    Exact without an all-pairs join: candidates meet in an equi-join, and the
+    edit distance confirms them.
     """
-    t = terms.where(F.length("term") >= shortest).select("term", "n", F.length("term").alias("len"))
-    k = distance + 1
-    piece = lambda i: F.struct(F.lit(i).alias("i"), (F.floor(F.col("len") * i / k)).cast("int").alias("from"), (F.floor(F.col("len") * (i + 1) / k) - F.floor(F.col("len") * i / k)).cast("int").alias("size"))
-    cut = t.select("term", "n", "len", F.explode(F.array(*map(piece, range(k)))).alias("p"))
-    left = cut.select("term", "n", "len", F.col("p.i").alias("i"), F.substring("term", F.col("p.from") + 1, F.col("p.size")).alias("bit"))
-    # The other word's substrings at the places where the piece may stand, for each length that the cut word may have.
-    both = t.select(F.col("term").alias("other"), F.col("n").alias("other_n"), F.col("len").alias("other_len"), F.explode(F.sequence(F.greatest(F.lit(shortest), F.col("len") - distance), F.col("len") + distance)).alias("len"))
-    both = both.select("other", "other_n", "other_len", "len", F.explode(F.array(*map(piece, range(k)))).alias("p"))
-    both = both.select("other", "other_n", "len", F.col("p.i").alias("i"), "p", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p.from") - distance), F.col("p.from") + distance)).alias("at"))
-    right = both.where(F.col("at") + F.col("p.size") <= F.length("other")).select("other", "other_n", "len", "i", F.substring("other", F.col("at") + 1, F.col("p.size")).alias("bit")).distinct()
-    met = left.join(right, ["len", "i", "bit"]).where((F.col("n") * ratio <= F.col("other_n")) | (F.col("other_n") * ratio <= F.col("n")))
-    rare = F.when(F.col("n") < F.col("other_n"), F.struct(F.col("term").alias("term"), F.col("other").alias("canonical"), F.col("other_n").alias("canonical_n")))
-    rare = rare.otherwise(F.struct(F.col("other").alias("term"), F.col("term").alias("canonical"), F.col("n").alias("canonical_n")))
-    pairs = met.where("term <> other").select(rare.alias("r")).select("r.*").distinct()
+    t = terms.where(F.length("term") >= shortest).select("term", "n")
+    met = _by_variants(t, distance).union(_by_pieces(t, distance)).where(F.col("n") * ratio <= F.col("other_n"))
+    pairs = met.select("term", F.col("other").alias("canonical"), F.col("other_n").alias("canonical_n")).distinct()
     return pairs.withColumn("distance", F.levenshtein("term", "canonical")).where(F.col("distance") <= distance)
 
 

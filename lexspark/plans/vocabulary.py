@@ -47,19 +47,19 @@ def word_percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Occurrences by source, each source with a confidence from its mean length.
-_SOURCES = f"""{TOK}, c AS (SELECT source, least(0.99, 0.5 + avg(n_chars) / 10000.0) AS confidence FROM documents GROUP BY 1),
+_SOURCES = f"""{TOK}, c AS (SELECT source, round(least(0.99, 0.5 + avg(n_chars) / 10000.0), 3) AS confidence FROM documents GROUP BY 1),
     o AS (SELECT term, source, count(*) AS n FROM tok JOIN documents USING (doc_id) GROUP BY 1, 2), s AS (SELECT * FROM o JOIN c USING (source))"""
 
 
 def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    c = d.groupBy("source").agg(F.least(F.lit(0.99), 0.5 + F.avg("n_chars") / 10000.0).alias("confidence"))
+    c = d.groupBy("source").agg(F.round(F.least(F.lit(0.99), 0.5 + F.avg("n_chars") / 10000.0), 3).alias("confidence"))
     o = d.select("source", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "source").agg(F.count("*").alias("n"))
     return o.join(F.broadcast(c), "source")
 
 
-@query(f"""WITH {_SOURCES} SELECT term, CAST(sum(n) AS BIGINT) AS total, round(sum(confidence * n) / sum(n), 6) AS mean, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most,
-           round(coalesce(stddev_pop(confidence), 0), 6) AS spread, round(avg(CASE WHEN confidence > 0.8 THEN 1.0 ELSE 0.0 END), 6) AS high_ratio, bool_and(confidence < 0.6) AS all_low, round(pow(sum(confidence * n), 1.1), 4) AS weighted
+@query(f"""WITH {_SOURCES} SELECT term, CAST(sum(n) AS BIGINT) AS total, round(sum(confidence * n) / sum(n), 9) AS mean, round(min(confidence), 9) AS least, round(max(confidence), 9) AS most,
+           round(coalesce(stddev_pop(confidence), 0), 9) AS spread, round(avg(CASE WHEN confidence > 0.8 THEN 1.0 ELSE 0.0 END), 9) AS high_ratio, bool_and(confidence < 0.6) AS all_low, round(pow(sum(confidence * n), 1.1), 4) AS weighted
            FROM s GROUP BY term""")
 def term_sources_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.source_stats(_by_source(spark, sf_dir))
