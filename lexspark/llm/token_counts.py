@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 FREQUENT = 50_000
 SAMPLE_ROWS = 2_000
-CACHED = 1_000_000
+CACHED = 500_000
+#: Texts that are split at a time.
+TEXTS = 1000
 _GAPS = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -80,18 +82,20 @@ def count(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "
         from tokenizers import Tokenizer
 
         tokenizer, first, cache = Tokenizer.from_str(spec.value), table.value, {}
-        for part in parts:
-            split = [_GAPS.split(t) if t else [] for t in part["t"]]
-            words: set[str] = set().union(*split)
-            words.discard("")
-            new = [w for w in words if w not in first and w not in cache]
-            if len(cache) + len(new) > cached:
-                cache, new = {}, [w for w in words if w not in first]
-            for at in range(0, len(new), 10_000):
-                cache.update(zip(new[at : at + 10_000], _lengths(tokenizer, new[at : at + 10_000])))
-            both = {w: first[w] if w in first else cache[w] for w in words} | {"": 0}
-            n = [sum(map(both.__getitem__, ws)) for ws in split]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "has_id": part["has_id"], "n_bytes": part["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
+        for whole in parts:
+            for at in range(0, len(whole), TEXTS):
+                part = whole.iloc[at : at + TEXTS]
+                split = [_GAPS.split(t) if t else [] for t in part["t"]]
+                words: set[str] = set().union(*split)
+                words.discard("")
+                new = [w for w in words if w not in first and w not in cache]
+                if len(cache) + len(new) > cached:
+                    cache, new = {}, [w for w in words if w not in first]
+                for k in range(0, len(new), 10_000):
+                    cache.update(zip(new[k : k + 10_000], _lengths(tokenizer, new[k : k + 10_000])))
+                both = {w: first[w] if w in first else cache[w] for w in words} | {"": 0}
+                n = [sum(map(both.__getitem__, ws)) for ws in split]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "has_id": part["has_id"], "n_bytes": part["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
     # Numbers with nulls would pass through floats in pandas: a missing id is a flag.
     number = F.col(key).cast("long")
