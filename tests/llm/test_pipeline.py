@@ -19,7 +19,7 @@ def tables(spark, path):
     junk = {i: " ".join(f"%%{k * i} &&&" for k in range(40)) for i in range(70, 90)}
     rows = [(k, t, "en", "s", None if t is None else len(t)) for k, t in {**texts, **junk}.items()]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(i, 0, 0) for i in range(70, 85)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(i, 0, 0) for i in range(70, 90)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, "Which planet in the solar system has the largest number of moons today and why?")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return texts
 
