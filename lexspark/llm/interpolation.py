@@ -10,13 +10,18 @@ of binary digits of c(v).  They are learned by expectation-maximisation: a tenth
 of the training texts is deleted from the counts and its n-grams, as counted,
 are the held-out counts.  Scores then use the counts of all training texts.
 
-Words beyond the HEAD commonest share one symbol of the n-grams; such a word's
-own probability within the symbol is added from its exact count (plus 0.1).  So
-symbols fit a broadcast table of bounded size, and n-grams are exact 40-bit
-numbers.  Every n-gram of every text is counted: tasks sort theirs and send them
-as arrays, which keeps a shuffled occurrence to a few bytes.  No key is hot in
-it: the pairs are dealt by a hash of both words, and a pair's occurrences within
-a batch of texts travel as one run.
+Every word is counted as itself, as a token, in pairs and as a context.  The HEAD
+commonest are symbols of a broadcast table of bounded size, which is only a
+short cut: pairs of them are exact 40-bit numbers, which tasks sort and send as
+arrays, so that a shuffled occurrence takes a few bytes.  No key is hot in it:
+the pairs are dealt by a hash of both words, and a pair's occurrences within a
+batch of texts travel as one run.  A pair with any other word (a tail word) is a
+row with that word's hash, dealt by it and joined with the exact counts.  A tail
+word is rarer than the whole head, so that its rows are a small share.
+
+A model of a limited vocabulary is made only on demand (``head``): words beyond
+that many share one symbol of the n-grams, and a word's own probability within
+the symbol is added from its exact count (plus 0.1).
 
 Null and empty texts are one end token.  A null id counts as empty text in the
 fold's checksum.  Repeated rows are counted, and scored, each.
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -39,8 +44,11 @@ FOLDS = 10
 HELD_OUT = 0
 #: The training fold whose counts are deleted while the weights are learned.
 DELETED = 1
+#: Words of the broadcast table.
 HEAD = 1 << 18
 BITS = 20
+#: Words that symbols of BITS can tell apart.
+MOST = (1 << BITS) - 3
 ALPHA = 0.1
 ROUNDS = 40
 #: Steps of a doubling in which held-out n-grams of like probability are pooled.
@@ -101,7 +109,8 @@ def _unigrams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Symbols:
     """The head words' hashes (ascending) with their counts in all and in the kept training texts, then the shared symbol, end and start."""
 
-    def __init__(self, word: np.ndarray, c: np.ndarray, r: np.ndarray, total: dict):
+    def __init__(self, word: np.ndarray, c: np.ndarray, r: np.ndarray, total: dict, merged: bool, cut: int):
+        self.merged, self.cut = merged, cut
         order = np.argsort(word.view(np.uint64))
         self.word, self.size, self.total = word.view(np.uint64)[order], len(word), total
         self.rare, self.end, self.start = self.size, self.size + 1, self.size + 2
@@ -116,13 +125,23 @@ class Symbols:
     def parts(self, kept: bool, pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """Bucket of the context and the three estimates, for pairs of symbols with their counts."""
         count = self.r if kept else self.c
-        total = count[: self.size + 2].sum()
-        v, w = count[pair >> BITS], count[pair & ((1 << BITS) - 1)]
+        return self.estimates(kept, count[pair >> BITS], count[pair & ((1 << BITS) - 1)], n)
+
+    def estimates(self, kept: bool, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same from the counts of the context, the token and the pair."""
+        total = (self.r if kept else self.c)[: self.size + 2].sum()
+        kinds = (self.size if self.merged else self.total["v"]) + 2
         bucket = np.where(v > 0, np.floor(np.log2(np.maximum(v, 1))).astype(np.int64) + 1, 0)
-        return bucket, n / np.maximum(v, 1), w / max(total, 1), (w + ALPHA) / (total + ALPHA * (self.size + 2))
+        return bucket, n / np.maximum(v, 1), w / max(total, 1), (w + ALPHA) / (total + ALPHA * kinds)
+
+    def in_table(self, pair: np.ndarray) -> np.ndarray:
+        """Which pairs are counted by their symbols: all in a merged model, else those without a tail word."""
+        if self.merged:
+            return np.ones(len(pair), bool)
+        return (pair >> BITS != self.rare) & (pair & ((1 << BITS) - 1) != self.rare)
 
 
-def symbols(counts: DataFrame, docs: int, kept_docs: int, head: int) -> Symbols:
+def symbols(counts: DataFrame, docs: int, kept_docs: int, head: int, merged: bool) -> Symbols:
     bins = {r.bin: r.n for r in counts.groupBy(F.floor(8 * F.log2("c")).alias("bin")).agg(F.count("*").alias("n")).collect()}
     cut, room = max(bins, default=0) + 1, head
     for b in sorted(bins, reverse=True):
@@ -132,7 +151,7 @@ def symbols(counts: DataFrame, docs: int, kept_docs: int, head: int) -> Symbols:
     total = counts.agg(F.sum("c").alias("c"), F.sum("r").alias("r"), F.count("*").alias("v")).first()
     top = counts.where(F.floor(8 * F.log2("c")) >= cut).toArrow()
     col = lambda k: top.column(k).to_numpy()
-    return Symbols(col("word"), col("c"), col("r"), {"c": total.c or 0, "r": total.r or 0, "v": total.v, "docs": docs, "kept_docs": kept_docs})
+    return Symbols(col("word"), col("c"), col("r"), {"c": total.c or 0, "r": total.r or 0, "v": total.v, "docs": docs, "kept_docs": kept_docs}, merged, cut)
 
 
 def _pairs(shared, parts_n: int):
@@ -149,6 +168,10 @@ def _pairs(shared, parts_n: int):
                     continue
                 pair, sizes = _symbol_pairs(s, ids, part["text"])
                 kept = np.repeat((part["fold"].to_numpy() != DELETED).astype(np.int64), sizes)
+                table = s.in_table(pair)
+                pair, kept = pair[table], kept[table]
+                if not len(pair):
+                    continue
                 # One sort of packed numbers: pair, then whether the text is kept.
                 pair = np.sort((pair << 1) | kept)
                 kept, pair = pair & 1, pair >> 1
@@ -189,7 +212,7 @@ SCAN = f"part int, step array<long>, x array<int>, keys array<long>, train array
 def _scanned(shared, parts_n: int):
     """For each partition, sorted pairs with the texts that they are in; and a row for each text.
 
-    A text's row has its known tokens and base score so far, and the hashes of its rare words.
+    A text's row has its known tokens and base score so far, and in a merged model the hashes of its rare words.
     """
     columns = [x.split()[0] for x in SCAN.split(", ")]
 
@@ -210,17 +233,19 @@ def _scanned(shared, parts_n: int):
                 n_rare = np.bincount(doc[is_rare], minlength=len(part))
                 begin = np.cumsum(sizes) - sizes
                 rare = [None] * len(part)
-                for d in np.flatnonzero(n_rare):
+                for d in np.flatnonzero(n_rare) if s.merged else ():
                     w = tokens(part["text"].iloc[d])
                     where = np.flatnonzero(is_rare[begin[d] : begin[d] + sizes[d]])
                     rare[d] = np.array([_hash(w[k]) for k in where], np.uint64).view(np.int64)
                 keys, fold = part["key"].to_numpy(), part["fold"].to_numpy()
                 known = np.array(sizes) - n_rare - (s.total["docs"] == 0)
                 rows = [(k % parts_n, None, None, None, None, True, i, h, k, *rest) for k, i, h, *rest in zip(keys.tolist(), part["doc_id"].tolist(), part["has_id"].tolist(), fold.tolist(), sizes, known.tolist(), score.tolist(), rare)]
+                table = s.in_table(pair)
+                pair, doc = pair[table], doc[table]
                 to = _part_of(pair, parts_n)
                 order = np.argsort((to << 2 * BITS) | pair)
                 pair, doc, to = pair[order], doc[order].astype(np.int32), to[order]
-                edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                edge = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
                 for a, b in zip(edge, [*edge[1:], len(to)]):
                     here, doc_at = np.unique(doc[a:b], return_inverse=True)
                     rows.append((to[a], np.diff(pair[a:b], prepend=0), doc_at.astype(np.int32), keys[here], (fold[here] != HELD_OUT).astype(np.int32), *NO_TEXT))
@@ -253,13 +278,17 @@ def _pooled(shared):
         if not len(pair):
             return
         bucket, p2, p1, p0 = s.parts(True, pair, r)
-        step = lambda p: np.where(p > 0, np.round(POOL * np.log2(np.maximum(p, 1e-300) / p0)), NONE).astype(np.int64)
-        cell, at = np.unique(np.stack([bucket, step(p2), step(p1)]), axis=1, return_inverse=True)
-        yield pd.DataFrame({"bucket": cell[0], "q2": cell[1], "q1": cell[2], "n": np.bincount(at.ravel(), d).astype(np.int64)})
+        yield _cells(bucket, p2, p1, p0, d)
 
     return run
 
 
+def _cells(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+    step = lambda p: np.where(p > 0, np.round(POOL * np.log2(np.maximum(p, 1e-300) / p0)), NONE).astype(np.int64)
+    cell, at = np.unique(np.stack([bucket, step(p2), step(p1)]), axis=1, return_inverse=True)
+    return pd.DataFrame({"bucket": cell[0], "q2": cell[1], "q1": cell[2], "n": np.bincount(at.ravel(), d).astype(np.int64)})
+
+
 def learned(cells: list[tuple[int, int, int, int]], buckets: int = 64) -> np.ndarray:
     """Weights (l2, l1, l0) of each bucket by EM on pooled held-out counts (bucket, q2, q1, n); a bucket without any takes those of all."""
     x = np.array(cells, np.int64).reshape(-1, 4)
@@ -334,6 +363,9 @@ def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if not texts or not sum(map(len, texts)):
         return
     t = pd.concat(texts, ignore_index=True)
+    # a text may have no pair in the table
+    keys.append(t["key"].to_numpy(np.int64))
+    sums.append(np.zeros(len(t)))
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate(sums), len(key))
     mine = np.searchsorted(key, t["key"].to_numpy(np.int64))
@@ -342,20 +374,122 @@ def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield t.iloc[a : a + 5000]
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
+#: Bits of tails.
+V_TAIL, W_TAIL = 1, 2
+TAILS = "v long, w long, tails int, tail long, kind int, key long"
+
+
+def _tail_pairs(shared):
+    """A row for each occurrence of a pair with a tail word: the words as hashes if they are of the tail, else as symbols.
+
+    tail: the hash to deal by, of the token if it is of the tail.  kind: 0 held out, 1 deleted, 2 kept.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s: Symbols = shared.value
+        ids = _Cache(s.find)
+        for whole in parts:
+            for at in range(0, len(whole), TEXTS):
+                part = whole.iloc[at : at + TEXTS]
+                rows = []
+                for t, key, fold in zip(part["text"], part["key"].tolist(), part["fold"].tolist()):
+                    words = tokens(t)
+                    i = np.array([s.start, *map(ids.__getitem__, words), s.end], np.int64)
+                    tail = i == s.rare
+                    where = np.flatnonzero(tail)
+                    if not len(where):
+                        continue
+                    i[where] = np.array([_hash(words[k - 1]) for k in where], np.uint64).view(np.int64)
+                    first = np.flatnonzero(tail[:-1] | tail[1:])
+                    rows.append((i[first], i[first + 1], tail[first] * V_TAIL + tail[first + 1] * W_TAIL, key, 0 if fold == HELD_OUT else 1 if fold == DELETED else 2))
+                if not rows:
+                    continue
+                v, w, tails = (np.concatenate([r[k] for r in rows]) for k in range(3))
+                sizes = [len(r[0]) for r in rows]
+                one = lambda k, kind: np.repeat(np.array([r[k] for r in rows], kind), sizes)
+                yield pd.DataFrame({"v": v, "w": w, "tails": tails.astype(np.int32), "tail": np.where(tails & W_TAIL, w, v), "kind": one(4, np.int32), "key": one(3, np.int64)})
+
+    return run
+
+
+def _tails(d: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """The occurrences of _tail_pairs with n and r, the pair's counts, and c and r of its tail words (vc, vr, wc, wr; 0 if they are in no training text)."""
+    s: Symbols = shared.value
+    low = counts.where(F.floor(8 * F.log2("c")) < s.cut)
+    # The join, and the pairs' counts by the same dealing, need one shuffle; only pairs of two tail words need another.
+    t = d.mapInPandas(_tail_pairs(shared), TAILS).join(low.withColumnRenamed("word", "tail"), "tail", "left")
+    pair = Window.partitionBy("tail", "v", "w", "tails")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    count = lambda k: F.sum((F.col("kind") >= k).cast("long")).over(pair)
+    is_v, is_w = F.col("tails") == V_TAIL, F.col("tails") != V_TAIL
+    t = t.select(
+        F.when(~is_v, F.col("v")).otherwise(0).alias("v"), F.when(is_v, F.col("w")).otherwise(0).alias("w"),
+        "tails", "kind", "key", count(1).alias("n"), count(2).alias("pr"),
+        F.when(is_v, zero("c")).otherwise(0).alias("vc"), F.when(is_v, zero("r")).otherwise(0).alias("vr"),
+        F.when(is_w, zero("c")).otherwise(0).alias("wc"), F.when(is_w, zero("r")).otherwise(0).alias("wr"),
+    )
+    t = stored(t, "lm-tails")
+    both = F.col("tails") == V_TAIL + W_TAIL
+    two = t.where(both).drop("vc", "vr").join(low.select(F.col("word").alias("v"), F.col("c").alias("vc"), F.col("r").alias("vr")), "v", "left")
+    return t.where(~both).unionByName(two.withColumns({"vc": zero("vc"), "vr": zero("vr")}))
+
+
+def _tail_estimates(s: Symbols, kept: bool, part: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    tails, count = part["tails"].to_numpy(), s.r if kept else s.c
+    own = lambda word, at, bit: np.where(tails & bit, part[at].to_numpy(), count[np.where(tails & bit, 0, part[word].to_numpy())])
+    v, w = own("v", "vr" if kept else "vc", V_TAIL), own("w", "wr" if kept else "wc", W_TAIL)
+    return s.estimates(kept, v.astype(np.float64), w.astype(np.float64), part["pr" if kept else "n"].to_numpy())
+
+
+def _tail_pooled(shared):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                yield _cells(*_tail_estimates(shared.value, True, part), np.ones(len(part)))
+
+    return run
+
+
+def _tail_scored(shared, weights: np.ndarray):
+    """For each text of a batch, the known ones of its tail words, their base scores and the scores of all its tail pairs."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s: Symbols = shared.value
+        n, v = s.total["c"] + s.total["docs"], s.total["v"] + (s.total["docs"] > 0)
+        for part in parts:
+            if not len(part):
+                continue
+            bucket, p2, p1, p0 = _tail_estimates(s, False, part)
+            w, c = weights[bucket], part["wc"].to_numpy()
+            is_w = (part["tails"].to_numpy() & W_TAIL) > 0
+            key, at = np.unique(part["key"].to_numpy(), return_inverse=True)
+            sums = lambda x: np.bincount(at, x, len(key))
+            yield pd.DataFrame({"key": key, "more_known": sums(is_w & (c > 0)), "more_base": sums(np.where(is_w, np.log10((c + ALPHA) / (n + ALPHA * (v + 1))), 0.0)), "more_score": sums(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0))})
+
+    return run
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int | None = None, table: int = HEAD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
+
+    head: at most so many words are kept apart (by default all are); table: words in the broadcast table, which changes no result.
+    """
+    merged = head is not None
     spark = docs.sparkSession
     d = _input(docs, text, key)
     counts = stored(d.where(F.col("fold") != HELD_OUT).mapInPandas(_unigrams, "word long, c long, r long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("r").alias("r")), "lm-words")
     by = {r.fold: r.n for r in d.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     train = sum(n for f, n in by.items() if f != HELD_OUT)
-    s = symbols(counts, train, train - by.get(DELETED, 0), head)
+    s = symbols(counts, train, train - by.get(DELETED, 0), head if merged else min(table, MOST), merged)
     shared = spark.sparkContext.broadcast(s)
     total = s.total["c"] + train
     parts_n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARE)
 
     pooled = d.mapInPandas(_pairs(shared, parts_n), PAIRS).repartition(parts_n, "part")
     pooled = pooled.mapInPandas(_pooled(shared), "bucket long, q2 long, q1 long, n long")
+    tails = None if merged else _tails(d, counts, shared)
+    if tails is not None:
+        pooled = pooled.unionByName(tails.where("kind = 1").mapInPandas(_tail_pooled(shared), pooled.schema))
     cells = pooled.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).collect()
     weights = learned([tuple(r) for r in cells])
 
@@ -363,17 +497,20 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int =
     texts = sums.repartition(parts_n, "part").mapInPandas(_summed, f"{_TEXT}, s double")
     texts = stored(texts, "lm-texts")
 
-    # Rare words: exact counts by a join; absent ones have count 0.
-    v, rare_n, rare_v = s.total["v"] + (train > 0), float(s.c[s.rare]), s.total["v"] - s.size
-    rare = texts.select("key", F.explode("rare").alias("word")).join(counts.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rare = rare.groupBy("key").agg(
-        F.sum((F.col("c") > 0).cast("long")).alias("more_known"),
-        F.sum(F.log10((F.col("c") + ALPHA) / (total + ALPHA * (v + 1)))).alias("more_base"),
-        F.sum(F.log10((F.col("c") + ALPHA) / (rare_n + ALPHA * (rare_v + 1)))).alias("more_score"),
-    )
-    # Equal rows share a key: their rare words were counted once for each of them.
-    copies = texts.where("rare is not null").groupBy("key").agg(F.count("*").alias("copies"))
     more = ("more_known", "more_base", "more_score")
+    if tails is None:
+        # Rare words: exact counts by a join; absent ones have count 0.
+        v, rare_n, rare_v = s.total["v"] + (train > 0), float(s.c[s.rare]), s.total["v"] - s.size
+        rare = texts.select("key", F.explode("rare").alias("word")).join(counts.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        rare = rare.groupBy("key").agg(
+            F.sum((F.col("c") > 0).cast("long")).alias("more_known"),
+            F.sum(F.log10((F.col("c") + ALPHA) / (total + ALPHA * (v + 1)))).alias("more_base"),
+            F.sum(F.log10((F.col("c") + ALPHA) / (rare_n + ALPHA * (rare_v + 1)))).alias("more_score"),
+        )
+    else:
+        rare = tails.mapInPandas(_tail_scored(shared, weights), "key long, more_known double, more_base double, more_score double").groupBy("key").agg(*[F.sum(c).alias(c) for c in more])
+    # Equal rows share a key: their rare words were counted once for each of them.
+    copies = texts.where("rare is not null" if merged else "true").groupBy("key").agg(F.count("*").alias("copies"))
     per = stored(rare.join(copies, "key").select("key", *[(F.col(c) / F.col("copies")).alias(c) for c in more]), "lm-rare")
     both = texts.join(per, "key", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in more})
     return both.select(

@@ -92,3 +92,41 @@ def test_weights_maximise_the_likelihood():
     assert w.sum() == pytest.approx(1)
     for _ in range(50):
         assert like(w) >= like(r.dirichlet([1, 1, 1])) - 0.5
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_words_beyond_the_table_stay_apart(spark, many, monkeypatch):
+    rows = [(i, t, 1, 1, "x") for i, t in enumerate(texts())]
+    rows += rows[5:8] + [(None, "w1 w2 w1", 1, 1, "x"), (900, "new1 new2 new1 new2 w1", 1, 1, "x")]
+    if many:  # more words than the broadcast table takes, most of them seen once, in pairs that come back
+        rows += [(1000 + i, " ".join(f"x{k // 2 if k % 7 else k}" for k in range(i * 10_000, i * 10_000 + 12_000)), 1, 1, "x") for i in range(60)]
+    kept = {}
+    real = lm.learned
+    monkeypatch.setattr(lm, "learned", lambda cells: kept.setdefault("w", real(kept.setdefault("cells", cells))))
+    got = lm.score(spark.createDataFrame(rows, DOCS), **({} if many else {"table": 40})).collect()
+    want, c, n, v, train, cut = brute(rows, None)
+    assert not many or v > lm.HEAD
+    norm = lambda r: tuple(round(x, 4) if isinstance(x, float) else x for x in r)
+    assert sorted((norm(r[:6]) for r in got), key=str) == sorted(map(norm, want), key=str)
+    pair = Counter((a, b) for d in train for a, b in zip(["", *d[:-1]], d))
+    context = c | Counter({"": len(train)})
+    # as many held-out occurrences in each bucket as the deleted fold has
+    folds = [(zlib.crc32(("" if k is None else str(k)).encode()) % 10, [*cut(t), None]) for k, t, *_ in rows]
+    left = Counter(a for f, d in folds if f > 1 for a in ["", *d[:-1]])
+    held, bucket = Counter(), lambda x: math.floor(math.log2(x)) + 1 if x else 0
+    for f, d in folds:
+        if f == 1:
+            held.update(bucket(left[a]) for a in ["", *d[:-1]])
+    mine = Counter()
+    for b, _, _, x in kept["cells"]:
+        mine[b] += x
+    assert mine == held
+    score = {}
+    for k, t, *_ in rows:
+        d, s = [*cut(t), None], 0.0
+        for a, b in zip(["", *d[:-1]], d):
+            x = context[a]
+            w = kept["w"][bucket(x)]
+            s += math.log10(w[0] * pair[a, b] / max(x, 1) + w[1] * c[b] / n + w[2] * (c[b] + 0.1) / (n + 0.1 * (v + 1)))
+        score.setdefault((k, len(d)), []).append(s)
+    assert all(any(r.score == pytest.approx(s, rel=1e-9, abs=1e-6) for s in score[r.doc_id, r.n_tokens]) for r in got)
