@@ -1,11 +1,14 @@
 """Substring dedup by line or paragraph hashing.
 
-Units (lines, or paragraphs between blank lines) are normalised: Unicode NFKC,
-lower case, white space runs as one space, no punctuation at either end.  Equal
-128-bit digests are equal units.  Over all documents the occurrence with the
-smallest (id, offset) stays, all others are removed, each with its offsets in
-the original text (code points, end exclusive).  Units under ``min_words`` words
-are left alone: headings and single words coincide by chance.
+Units are lines, and paragraphs (between blank lines) of several lines, so that
+a passage is found however it is wrapped; one parameter leaves only the lines or
+only the paragraphs.  They are normalised: Unicode NFKC, lower case, white space
+runs as one space, no punctuation at either end.  Equal 128-bit digests are
+equal units.  Over all documents the occurrence with the smallest (id, offset)
+stays, all others are removed, each with its offsets in the original text (code
+points, end exclusive).  Units of every length count, single words too; those
+without a letter or digit are none.  Lines inside a repeated paragraph that are
+repeats themselves have rows of their own.
 
 Digests are summed up before the shuffle; a unit that a third of all documents
 hold is one row for each task.  Its occurrences meet that row in a join that
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MIN_WORDS = 10
+MIN_WORDS = 1
 UNIT = "doc_id long, start long, end long, n_words int, digest binary"
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -36,8 +39,15 @@ def normalised(unit: str) -> str:
     return _EDGES.sub("", " ".join(t.lower().split()))
 
 
-def cut(text: str, paragraphs: bool) -> Iterator[tuple[int, int]]:
-    """(start, end) of the units of a text."""
+def cut(text: str, paragraphs: bool | None) -> Iterator[tuple[int, int]]:
+    """(start, end) of the units of a text: lines or paragraphs, or (None) lines and those paragraphs that hold several."""
+    if paragraphs is None:
+        yield from cut(text, False)
+        for s, e in cut(text, True):
+            # a paragraph with one line of words is that line, whatever rules stand around it
+            if "\n" in text[s:e] and sum(1 for line in text[s:e].split("\n") if normalised(line)) > 1:
+                yield s, e
+        return
     if paragraphs:
         at = 0
         for m in re.finditer(r"\n(?:[^\S\n]*\n)+", text):
@@ -51,14 +61,14 @@ def cut(text: str, paragraphs: bool) -> Iterator[tuple[int, int]]:
         at += len(line) + 1
 
 
-def units(docs: DataFrame, text: str = "text", key: str = "doc_id", paragraphs: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
+def units(docs: DataFrame, text: str = "text", key: str = "doc_id", paragraphs: bool | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for k, t in zip(part["doc_id"], part["text"]):
                 for s, e in cut(t, paragraphs) if t else ():
                     unit = normalised(t[s:e])
-                    if (n := unit.count(" ") + 1) >= min_words:
+                    if unit and (n := unit.count(" ") + 1) >= min_words:
                         rows.append((k, s, e, n, hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "n_words", "digest"])
@@ -66,7 +76,7 @@ def units(docs: DataFrame, text: str = "text", key: str = "doc_id", paragraphs:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, UNIT)
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", paragraphs: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", paragraphs: bool | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, end, n_words, digest, kept_doc, kept_start for each unit to remove."""
     u = stored(units(docs, text, key, paragraphs, min_words), "units")
     first = u.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -76,7 +86,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", paragraphs
     return out.select(real("doc_id"), "start", "end", "n_words", F.hex("digest").alias("digest"), real("kept_doc"), "kept_start")
 
 
-def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", paragraphs: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
+def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", paragraphs: bool | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the repeated units cut out of their texts and their offsets in column removed."""
     spans = repeats(docs, text, key, paragraphs, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     out = docs.join(stored(spans.withColumnRenamed("doc_id", "r_doc"), "unit-spans"), docs[key].eqNullSafe(F.col("r_doc")), "left").drop("r_doc")
@@ -88,7 +98,7 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id", paragraphs
             at, keep = 0, []
             for x in cuts if cuts is not None and t is not None else ():
                 keep.append(t[at : x["start"]])
-                at = min(len(t), x["end"] + 1)  # with the line end
+                at = max(at, min(len(t), x["end"] + 1))  # with the line end; units may lie inside each other
             new.append(t if t is None else "".join(keep) + t[at:])
         return pd.Series(new)
 

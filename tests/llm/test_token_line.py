@@ -49,3 +49,14 @@ def test_repeats_against_brute_force(spark, paragraphs):
     if not paragraphs:
         out = {r.doc_id: r.text for r in line_dedup.removed(df).collect()}
         assert out[0] == texts[0] and out[1] == "é𝒳 x\n" and out[6] == "" and out[2] is None and out[5] == texts[5]
+
+
+def test_short_lines_and_wrapped_passages(spark):
+    words = [f"word{i}" for i in range(60)]
+    wrap = lambda n: "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
+    texts = ["Menu\nAll rights reserved\n\n" + wrap(7), "all RIGHTS reserved.\nmenu\n***\n", wrap(9) + "\n\nown line", "own text\n\n" + " ".join(words), "---\nown\n---", None]
+    df = spark.createDataFrame([(i, t, "", 1, "") for i, t in enumerate(texts)], DOCS)
+    got = {(r.doc_id, r.start, r.end, r.kept_doc, r.kept_start) for r in line_dedup.repeats(df).collect()}
+    assert got == {(1, 0, 20, 0, 5), (1, 21, 25, 0, 0), (2, 0, len(wrap(9)), 0, 26), (3, 10, len(texts[3]), 0, 26)}
+    twice = spark.createDataFrame([(i, "a b\nc d\n\ne f", "", 1, "") for i in range(2)], DOCS)
+    assert {r.doc_id: r.text for r in line_dedup.removed(twice).collect()} == {0: "a b\nc d\n\ne f", 1: "\n"}
