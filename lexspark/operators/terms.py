@@ -94,6 +94,7 @@ PERSON = r"\b(?:Mr|Ms|Mrs|Dr|Prof)\.\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?"
 NAME = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}\b"
 ORG = r"\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+(?:Inc|Corp|LLC|LLP|Ltd|Hospital|University|Department|License)\b"
 ACRONYM = r"\b[A-Z]{2,6}\b"
+BOUNDED_ACRONYM = r"(?<![\p{L}\p{N}_])[A-Z]{2,6}(?![\p{L}\p{N}_])"
 
 
 def entities(docs: DataFrame) -> DataFrame:

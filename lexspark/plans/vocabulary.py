@@ -183,6 +183,13 @@ def acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(O.ACRONYM), F.lit(0))).alias("term"))
 
 
+@query()
+def acronyms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acronyms of all texts, between boundaries of a fixed class; acronyms, whose SQL has word boundaries, takes the texts in ASCII only."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(O.BOUNDED_ACRONYM), F.lit(0))).alias("term"))
+
+
 @query()
 def ner_rule_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.entities(table(spark, sf_dir, "documents"))

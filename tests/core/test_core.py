@@ -127,3 +127,16 @@ def test_streams(spark, tmp_path):
     cumulative.cumulative_terms(docs, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     got = {tuple(r) for r in cumulative.term_totals(spark.read.parquet(str(tmp_path / "t"))).collect()}
     assert got == {("alpha", 2, 3), ("beta", 1, 1), ("gamma", 1, 1)}
+
+
+def test_acronyms_of_all_texts(spark, tmp_path):
+    import re
+
+    from lexspark import catalog
+
+    texts = ["FBI und CIA, §EU é NATO", "ÉTA ETAÉ A1 ABC1 _UN X ABCDEFG", "L'ONU à l'UE", "plain ASCII text", None, "", "中UN国 UN。"]
+    rows = list(enumerate(texts)) + [(None, "WHO ß")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.term) for r in catalog.QUERIES["acronyms_all"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(k, m) for k, t in rows for m in re.findall(r"\b[A-Z]{2,6}\b", t or "")], key=str)
+    assert (0, "NATO") in got and (None, "WHO") in got
