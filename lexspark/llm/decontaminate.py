@@ -10,12 +10,13 @@ chance meeting of templates does not.  An item counts as leaked into a document
 if consistent windows cover half of its tokens or LONG of them.
 
 Benchmark windows are broadcast if they are at most BROADCAST_WINDOWS, else the
-join is shuffled.  Windows with fewer than LITERALS plain words are left out, as
-they say nothing; an item shorter than a window is one window of its own length.
-No Python runs on executors.
+join is shuffled.  The template of a window with fewer than LITERALS plain words
+says nothing: such a window is hashed with its values and met by verbatim copies
+only.  An item shorter than a window is one window of its own length.  No Python
+runs on executors.
 
-Null and empty texts hold nothing; items without LITERALS plain words cannot be
-found.  Rows of equal id and text count as one document; a null id is an id.
+Null and empty texts hold nothing; an item of fewer than LITERALS tokens cannot
+be found, as its copies are chance.  Rows of equal id and text count as one document; a null id is an id.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ SLOTS = ["<num>", "<unit>", "<name>"]
 
 
 def templates(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with column out, (low, slot) for each template token with its value in the text, and out_h, the hashes of the tokens."""
+    """df with column out, (low, slot) for each template token with its value in the text, and out_h, the hashes of the tokens (odd: plain words)."""
     toks = F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
     df = df.withColumn("t_tok", toks).withColumn("t_low", F.transform("t_tok", lambda t: F.lower(t)))
     digit = lambda t: F.substring(t, 1, 1).between("0", "9")
@@ -59,14 +60,18 @@ def templates(df: DataFrame, text: str, out: str) -> DataFrame:
     kinds = F.transform("t_tok", lambda t, i: F.struct(F.get("t_low", i).alias("low"), slot(t, i).alias("slot")))
     df = df.withColumn(out, F.filter(kinds, lambda x: x["slot"] >= 0))
     names = F.array(*map(F.lit, SLOTS))
-    hashed = F.transform(out, lambda x: F.when(x["slot"] == 0, F.xxhash64(x["low"])).otherwise(F.xxhash64(F.get(names, x["slot"] - 1))))
+    hashed = F.transform(out, lambda x: F.when(x["slot"] == 0, F.xxhash64(x["low"]).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(F.get(names, x["slot"] - 1)).bitwiseAND(F.lit(-2))))
     return df.withColumn(f"{out}_h", hashed).drop("t_tok", "t_low")
 
 
 def windows(tokens: str, sizes: list[int]) -> Column:
-    """(pos, size, hash) of every window of the given sizes."""
+    """(pos, size, hash) of every window of the given sizes; the hash is of the template if that has LITERALS plain words, else of the values."""
     def each(n: int) -> Column:
-        hashed = lambda i: F.xxhash64(F.lit(n), *[F.get(tokens, i + k) for k in range(n)])
+        at = lambda i, k: F.get(f"{tokens}_h", i + k)
+        plain = lambda i: sum((at(i, k).bitwiseAND(F.lit(1)) for k in range(1, n)), at(i, 0).bitwiseAND(F.lit(1)))
+        template = lambda i: F.xxhash64(F.lit(n), *[at(i, k) for k in range(n)])
+        values = lambda i: F.xxhash64(F.lit(-n), *[F.get(tokens, i + k)["low"] for k in range(n)])
+        hashed = lambda i: F.when(plain(i) >= LITERALS, template(i)).otherwise(values(i))
         made = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("size"), hashed(i).alias("hash")))
         return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<struct<pos:int,size:int,hash:bigint>>"))
 
@@ -76,14 +81,14 @@ def windows(tokens: str, sizes: list[int]) -> Column:
 def item_windows(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> tuple[DataFrame, list[int]]:
     """Windows of the benchmark and the sizes that occur (at most WINDOW of them)."""
     b = templates(benchmark.select(F.col(key).alias("item_id"), F.col(text).alias("b_text")), "b_text", "b_tok")
-    b = stored(b.select("item_id", "b_tok", "b_tok_h", F.size("b_tok").alias("item_tokens")).where("item_tokens > 0"), "leak-items")
+    b = stored(b.select("item_id", "b_tok", "b_tok_h", F.size("b_tok").alias("item_tokens")).where(F.col("item_tokens") >= LITERALS), "leak-items")
     sizes = sorted({min(WINDOW, r[0]) for r in b.select(F.least("item_tokens", F.lit(WINDOW))).distinct().collect()})
     if not sizes:
         sizes = [WINDOW]
-    w = b.select("item_id", "item_tokens", "b_tok", F.explode(windows("b_tok_h", sizes)).alias("w"))
+    w = b.select("item_id", "item_tokens", "b_tok", F.explode(windows("b_tok", sizes)).alias("w"))
     w = w.where(F.col("w.size") == F.least("item_tokens", F.lit(WINDOW)))
     w = w.select("item_id", "item_tokens", F.col("w.pos").alias("b_pos"), F.col("w.hash").alias("hash"), F.slice("b_tok", F.col("w.pos") + 1, F.col("w.size")).alias("b_part"))
-    w = w.where(F.size(F.filter("b_part", lambda x: x["slot"] == 0)) >= LITERALS)
+    w = w.withColumn("exact", F.size(F.filter("b_part", lambda x: x["slot"] == 0)) < LITERALS)
     return stored(w, "leak-windows"), sizes
 
 
@@ -92,18 +97,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     w, sizes = item_windows(benchmark)
     w = F.broadcast(w) if w.count() <= BROADCAST_WINDOWS else w
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"), F.col(text).alias("d_text"))
-    d = templates(d, "d_text", "d_tok").withColumn("d_win", windows("d_tok_h", sizes))
+    d = templates(d, "d_text", "d_tok").withColumn("d_win", windows("d_tok", sizes))
     # outer: an inner explode infers a filter that would compute the arrays once more, inside the lambdas
     hits = d.select("doc_id", "text_hash", "d_tok", F.explode_outer("d_win").alias("d_w")).withColumn("hash", F.col("d_w.hash")).join(w, "hash")
     pair = F.zip_with("b_part", F.slice("d_tok", F.col("d_w.pos") + 1, F.col("d_w.size")), lambda b, x: F.struct(b["low"].alias("b"), x["low"].alias("d"), b["slot"].alias("slot")))
-    hits = hits.select("doc_id", "text_hash", "item_id", "item_tokens", "b_pos", F.col("d_w.size").alias("size"), (F.col("d_w.pos") - F.col("b_pos")).alias("shift"), F.transform(F.filter(pair, lambda x: x["slot"] > 0), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))).alias("slots"))
+    hits = hits.select("doc_id", "text_hash", "item_id", "item_tokens", "b_pos", "exact", F.col("d_w.size").alias("size"), (F.col("d_w.pos") - F.col("b_pos")).alias("shift"), F.transform(F.filter(pair, lambda x: x["slot"] > 0), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))).alias("slots"))
     keys = ["doc_id", "text_hash", "item_id", "item_tokens", "size"]
     # Sets of one alignment are bounded by the item's length.
-    lines = hits.groupBy(*keys, "shift").agg(F.collect_set("b_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    lines = lines.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["b"]))))
+    of = lambda exact, c: F.collect_set(F.when(F.col("exact") == exact, F.col(c)))
+    lines = hits.groupBy(*keys, "shift").agg(
+        of(False, "b_pos").alias("at"), F.array_distinct(F.flatten(of(False, "slots"))).alias("slots"),
+        of(True, "b_pos").alias("e_at"), F.array_distinct(F.flatten(of(True, "slots"))).alias("e_slots"),
+    )
+    # where the values of templates disagree, only the verbatim windows of the alignment stay
+    agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["b"])))
+    both = lambda c: F.when(agree, F.array_union(c, f"e_{c}")).otherwise(F.col(f"e_{c}")).alias(c)
+    lines = lines.select(*keys, "shift", both("at"), both("slots")).where(F.size("at") > 0)
     items = lines.groupBy(*keys).agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("at")))).alias("at"),
-        F.max(F.size("slots")).alias("n_slots"),
+        F.max(F.size(F.array_distinct(F.transform("slots", lambda x: x["b"])))).alias("n_slots"),
         F.min(F.size(F.filter("slots", lambda x: x["b"] != x["d"]))).alias("n_changed"),
     )
     new = F.transform("at", lambda p, k: F.least(F.col("size"), F.coalesce(F.get("at", k + 1) - p, F.col("size"))))

@@ -126,3 +126,26 @@ def test_leaks(spark):
     left = decontaminate.clean(df, items)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [2, 4, 5, 6, 8]
     assert decontaminate.leaks(df, items.limit(0)).collect() == decontaminate.leaks(df.limit(0), items).collect() == []
+
+
+def test_items_of_few_words_are_found_verbatim(spark):
+    items = [
+        (0, "Compute 348 * 27 + 915 / 5 - 63"),
+        (1, "Values 11 12 13 14 15 16 17 18 19 20 21 22"),
+        (2, "he saw Anna Peter Maria John Julia Olga Boston Denver 5 km 7 km 9 km 3 km"),
+        (3, "5"),
+        (4, "which of the following animals builds large dams 1 2 3 4 5 6 7 8 9 10 11 12"),
+    ]
+    texts = {
+        0: "Please Compute 348 * 27 + 915 / 5 - 63 now",
+        1: "compute 349 * 27 + 915 / 5 - 63",
+        2: "a list 5 " + items[1][1] + " 5 6",
+        3: "values 11 12 13 14 15 99 17 18 19 20 21 22",
+        4: "then " + items[2][1],
+        5: "then he saw Anna Peter Maria John Julia Olga Boston Denver 6 km 8 km 9 km 3 km",
+        6: "5",
+        7: "no dams here 1 2 3 4 5 6 7 8 9 10 11 12",
+    }
+    df = spark.createDataFrame([(k, t, 1, 2, "x", 3) for k, t in texts.items()], DOCS)
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 0, "verbatim"), (2, 1, "verbatim"), (4, 2, "verbatim"), (5, 2, "verbatim"), (7, 4, "verbatim")}
