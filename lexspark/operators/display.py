@@ -50,23 +50,31 @@ def combined(corpora: list[tuple[str, DataFrame]], key: str = "doc_id") -> DataF
     return every.join(twice, "name", "left").select(F.when(F.col("clash"), F.concat_ws("_", "corpus", "name")).otherwise(F.col("name")).alias("name"), "corpus")
 
 
-def choose_k(vectors: DataFrame, most: int = 6, seed: int = 42) -> int:
-    """The number of clusters that two of three votes agree on, else their median: silhouette, spread ratio, and the knee of the cost."""
+def choose_k(vectors: DataFrame, most: int = 15, seed: int = 42) -> int:
+    """The number of clusters, up to ``most``, that two of three votes agree on, else their median.
+
+    Votes: silhouette, the ratio of spreads (Calinski-Harabasz), and the lowest BIC of round clusters of one spread, from their sizes and cost.
+    """
+    from math import log, pi
+
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
     v = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
-    n, silhouette, cost = v.count(), {}, {}
+    n, silhouette, spread, bic = v.count(), {}, {}, {}
     if n < 10:
         return max(1, min(n, 2))
+    variance = v.select(Summarizer.variance(F.col("features")).alias("x")).first().x
+    dims, total = len(variance), float(sum(variance)) * (n - 1)
     for k in range(2, min(most, n // 2) + 1):
         model = KMeans(k=k, seed=seed, maxIter=20).fit(v)
         silhouette[k] = ClusteringEvaluator(distanceMeasure="cosine").evaluate(model.transform(v))
-        cost[k] = model.summary.trainingCost
+        cost, sizes = max(model.summary.trainingCost, 1e-12), model.summary.clusterSizes
+        spread[k] = (total - cost) / (k - 1) / (cost / (n - k))
+        likelihood = sum(x * log(x / n) for x in sizes if x) - n * dims / 2 * (log(2 * pi * cost / (n * dims)) + 1)
+        bic[k] = k * (dims + 1) * log(n) - 2 * likelihood
     v.unpersist()
-    total = cost[2] * 1.2
-    spread = {k: ((total - c) / (k - 1)) / (c / (n - k)) for k, c in cost.items()}
-    knee = {k: cost[k - 1] - cost[k] for k in cost if k - 1 in cost} or {2: 0.0}
-    votes = sorted(max(d, key=d.get) for d in (silhouette, spread, knee))
-    return votes[1] if votes[0] != votes[1] or votes[1] != votes[2] else votes[0]
+    votes = sorted([max(silhouette, key=silhouette.get), max(spread, key=spread.get), min(bic, key=bic.get)])
+    return votes[1]

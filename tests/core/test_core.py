@@ -140,3 +140,12 @@ def test_acronyms_of_all_texts(spark, tmp_path):
     got = sorted(((r.doc_id, r.term) for r in catalog.QUERIES["acronyms_all"](spark, str(tmp_path)).collect()), key=str)
     assert got == sorted([(k, m) for k, t in rows for m in re.findall(r"\b[A-Z]{2,6}\b", t or "")], key=str)
     assert (0, "NATO") in got and (None, "WHO") in got
+
+
+@pytest.mark.parametrize("k", [3, 9])
+def test_choose_k_finds_many_clusters(spark, k):
+    from lexspark.operators import display
+
+    r = random.Random(5)
+    rows = [([(10.0 if j == i % k else 0.0) + r.gauss(0, 0.2) for j in range(9)],) for i in range(30 * k)]
+    assert display.choose_k(spark.createDataFrame(rows, "embedding array<double>")) == k
