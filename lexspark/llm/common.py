@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one of this machine, which only a local master can share."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         root = tempfile.mkdtemp(prefix="lexspark-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on the session's Arrow batches hold size bytes at most and a row, or what it was set to if that is less: rows alone bound no memory."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/lexspark-{what}-{uuid.uuid4().hex}"
@@ -59,6 +69,22 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def neutral(df: DataFrame, *wanted: str | None) -> tuple[DataFrame, list[str | None], Callable[..., DataFrame]]:
+    """df with its columns named c0, c1 and so on, so that no name clashes with an operator's own; the new names of wanted; and what gives back the old ones.
+
+    The last takes a DataFrame and columns to add at the end, which take the place of columns of that name.
+    """
+    new = [f"c{i}" for i in range(len(df.columns))]
+    exact, loose = dict(zip(df.columns, new)), dict(zip(map(str.lower, df.columns), new))
+
+    def back(out: DataFrame, *more: str) -> DataFrame:
+        low = {m.lower() for m in more}
+        held = [(n, c) for n, c in zip(new, df.columns) if c.lower() not in low]
+        return out.select(*[n for n, _ in held], *more).toDF(*[c for _, c in held], *more)
+
+    return df.toDF(*new), [None if w is None else exact.get(w) or loose[w.lower()] for w in wanted], back
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
