@@ -10,100 +10,181 @@ of binary digits of c(v).  They are learned by expectation-maximisation: a tenth
 of the training texts is deleted from the counts and its n-grams, as counted,
 are the held-out counts.  Scores then use the counts of all training texts.
 
-Every word is counted as itself, as a token, in pairs and as a context.  The HEAD
+Every word is counted as itself, as a token, in pairs and as a context.  The TABLE
 commonest are symbols of a broadcast table of bounded size, which is only a
 short cut: pairs of them are exact 40-bit numbers, which tasks sort and send as
-arrays, so that a shuffled occurrence takes a few bytes.  No key is hot in it:
-the pairs are dealt by a hash of both words, and a pair's occurrences within a
-batch of texts travel as one run.  A pair with any other word (a tail word) is a
-row with that word's hash, dealt by it and joined with the exact counts.  A tail
-word is rarer than the whole head, so that its rows are a small share.
+packed blocks, dealt by a hash of both words, so that a shuffled occurrence takes
+a few bytes and a pair's occurrences within a batch of texts are one run.  A pair
+with any other word (a tail word) is dealt by the hash of that word, to where the
+exact counts of the tail words go by the same hash.  A tail word is rarer than
+the whole table, so that its pairs are a small share.
 
 A model of a limited vocabulary is made only on demand (``head``): words beyond
 that many share one symbol of the n-grams, and a word's own probability within
 the symbol is added from its exact count (plus 0.1).
 
 Null and empty texts are one end token.  A null id counts as empty text in the
-fold's checksum.  Repeated rows are counted, and scored, each.
+fold's checksum.  Repeated rows are counted, and scored, each.  Texts are taken
+in batches of BATCH bytes and one text more at most, so that a very long one
+stands alone.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 FOLDS = 10
 HELD_OUT = 0
 #: The training fold whose counts are deleted while the weights are learned.
 DELETED = 1
-#: Words of the broadcast table.
 HEAD = 1 << 18
 BITS = 20
-#: Words that symbols of BITS can tell apart.
-MOST = (1 << BITS) - 3
+#: Words of the broadcast table: as many as symbols of BITS can tell apart.
+TABLE = (1 << BITS) - 3
 ALPHA = 0.1
 ROUNDS = 40
 #: Steps of a doubling in which held-out n-grams of like probability are pooled.
 POOL = 8
 NONE = -(1 << 20)
-#: Texts whose pairs are sorted at a time.
-TEXTS = 2500
+#: Bytes of texts whose pairs are sorted at a time.
+BATCH = 8 << 20
 #: Occurrences for one task, about.
-SHARE = 3_000_000
+SHARE = 2_000_000
+#: Token hashes that a task counts at a time.
+COUNTED = 4_000_000
+#: A random number for each byte at each of 64 places in a word.
+_PLACES = np.random.Generator(np.random.PCG64(20_000)).integers(0, 1 << 64, 64 * 256, np.uint64)
+_FAR = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint16)
+_SPACE = np.array([b in b"\x20\t\n\x0b\x0c\r" for b in range(256)])
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of all texts, ends apart, and how many each text has: sums of random numbers for each byte and place."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    _, offsets, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    off = np.frombuffer(offsets, wide, len(texts) + 1, texts.offset * np.dtype(wide).itemsize).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    off = off - off[0]
+    black = ~_SPACE[raw]
+    inner = off[(off > 0) & (off < len(raw))]
+    start = black.copy()
+    start[1:] &= ~black[:-1]
+    start[inner] = black[inner]
+    stop = black.copy()
+    stop[:-1] &= ~black[1:]
+    stop[inner - 1] = black[inner - 1]
+    begin = np.flatnonzero(start)
+    size = np.flatnonzero(stop) - begin + 1
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    value = _PLACES[((place & 63) << 8) | _LOWER[raw[black]]]
+    if size.max() > 64:
+        late = np.flatnonzero(place > 63)
+        power = np.cumprod(np.full(int(place.max()) // 64 + 1, _FAR))
+        value[late] *= power[place[late] // 64]
+    return np.add.reduceat(value, first), np.diff(np.searchsorted(begin, off))
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def _input(docs: DataFrame, text: str, key: str) -> DataFrame:
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(name, t).alias("key"), (F.crc32(name.cast("binary")) % FOLDS).cast("int").alias("fold"), t.alias("text"))
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """About BATCH bytes of rows at a time."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        if (size := size + part.nbytes) >= BATCH:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on as planes of bytes, as many as the largest number needs."""
+    out = [np.array([len(columns), len(columns[0])], np.uint64).tobytes()]
+    for c in columns:
+        c = np.ascontiguousarray(c, np.int64).view(np.uint64)
+        width = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
+        out += [bytes([width]), c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return b"".join(out)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    (columns, n), at, out = np.frombuffer(data, np.uint64, 2).tolist(), 16, []
+    for _ in range(columns):
+        width = data[at]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 1).reshape(width, n).T
+        out.append(wide.view(np.int64).ravel())
+        at += 1 + width * n
+    return out
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+def _blocks(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(part, its columns) of rows, in their order."""
+    if len(part) and part.max() < 1 << 16:
+        part = part.astype(np.uint16)  # is sorted by its digits
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for a, b in zip(edge, [*edge[1:], len(part)]):
+        yield int(part[a]), [c[a:b] for c in columns]
 
 
-def _input(docs: DataFrame, text: str, key: str) -> DataFrame:
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    # Numbers with nulls would pass through floats in pandas: a missing id is a flag.
-    number = F.col(key).cast("long")
-    return docs.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNotNull().alias("has_id"), F.xxhash64(name, t).alias("key"), (F.crc32(name.cast("binary")) % FOLDS).cast("int").alias("fold"), t.alias("text"))
+def _sorted_with(pair: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order, each with its tag; tags are small numbers from 0 on: both fit one number, which sorts fast."""
+    bits = max(1, int(tag.max()).bit_length()) if len(tag) else 1
+    if bits + 2 * BITS > 63:
+        order = np.argsort(pair, kind="stable")
+        return pair[order], tag[order]
+    both = np.sort((pair << bits) | tag)
+    return both >> bits, both & ((1 << bits) - 1)
 
 
-class _Cache(dict):
-    """Values of words, made once; emptied when it is full."""
+def _rows(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    names = dict(x.split() for x in schema.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in names.items()], list(names))
 
-    def __init__(self, make, limit: int = 500_000):
-        super().__init__()
-        self.make, self.limit = make, limit
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = x = self.make(word)
-        return x
+def _unigrams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[bool, list[np.ndarray]] = {True: [], False: []}
 
+    def out() -> Iterator[pa.RecordBatch]:
+        for kept, lists in held.items():
+            if lists:
+                word, c = np.unique(np.concatenate(lists), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c), pa.array(c * kept)], ["word", "c", "r"])
+                lists.clear()
 
-def _unigrams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        part = part[part["fold"] != HELD_OUT]
-        index: dict[bytes, int] = defaultdict(lambda: len(index))
-        ids = [np.array(list(map(index.__getitem__, tokens(t))), np.int64) for t in part["text"]]
-        if not index:
-            continue
-        kept = [i for i, f in zip(ids, part["fold"]) if f != DELETED]
-        count = lambda x: np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]), minlength=len(index))
-        yield pd.DataFrame({"word": _signed(np.array([_hash(w) for w in index], np.uint64)), "c": count(ids), "r": count(kept)})
+        token, sizes = hashed(part.column("text"))
+        fold = np.repeat(part.column("fold").to_numpy(), sizes)
+        held[False].append(token[fold == DELETED])
+        held[True].append(token[(fold != DELETED) & (fold != HELD_OUT)])
+        if sum(len(x) for lists in held.values() for x in lists) > COUNTED:
+            yield from out()
+    yield from out()
 
 
 class Symbols:
@@ -117,10 +198,49 @@ class Symbols:
         self.c = np.concatenate([c[order], [total["c"] - c.sum(), total["docs"], total["docs"]]]).astype(np.float64)
         self.r = np.concatenate([r[order], [total["r"] - r.sum(), total["kept_docs"], total["kept_docs"]]]).astype(np.float64)
 
-    def find(self, word: bytes) -> int:
-        h = np.uint64(_hash(word))
-        at = int(np.searchsorted(self.word, h))
-        return at if at < self.size and self.word[at] == h else self.rare
+    def _slots(self) -> np.ndarray:
+        """Open addressing by the hashes' low bits, a quarter full at most; -1 is free."""
+        if not hasattr(self, "slots"):
+            mask = (4 << max(1, self.size).bit_length()) - 1
+            slots, todo, at = np.full(mask + 1, -1, np.int32), np.arange(self.size, dtype=np.int32), (self.word & np.uint64(mask)).astype(np.int64)
+            while len(todo):
+                free = slots[at] < 0
+                slots[at[free]] = todo[free]
+                lost = slots[at] != todo
+                todo, at = todo[lost], (at[lost] + 1) & mask
+            self.slots = slots
+        return self.slots
+
+    def find(self, token: np.ndarray) -> np.ndarray:
+        """Symbols of hashed words."""
+        slots = self._slots()
+        mask = len(slots) - 1
+        out = np.full(len(token), self.rare, np.int64)
+        todo, at = np.arange(len(token)), (token & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            k = slots[at]
+            same = (k >= 0) & (self.word[np.maximum(k, 0)] == token[todo]) if self.size else np.zeros(len(k), bool)
+            out[todo[same]] = k[same]
+            on = np.flatnonzero((k >= 0) & ~same)
+            todo, at = todo[on], (at[on] + 1) & mask
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the tokens of all texts, their ends included: symbols of those before, and their own; sizes of the texts; and hashes of rare words."""
+        token, sizes = hashed(texts)
+        sizes = sizes + 1
+        inner = self.find(token)
+        end = np.cumsum(sizes) - 1
+        word = np.ones(len(token) + len(sizes), bool)
+        word[end] = False
+        second = np.full(len(word), self.end, np.int64)
+        second[word] = inner
+        first = np.append(self.start, second[:-1])
+        first[end[:-1] + 1] = self.start
+        return first, second, sizes, token[inner == self.rare].view(np.int64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "slots"}
 
     def parts(self, kept: bool, pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """Bucket of the context and the three estimates, for pairs of symbols with their counts."""
@@ -134,12 +254,6 @@ class Symbols:
         bucket = np.where(v > 0, np.floor(np.log2(np.maximum(v, 1))).astype(np.int64) + 1, 0)
         return bucket, n / np.maximum(v, 1), w / max(total, 1), (w + ALPHA) / (total + ALPHA * kinds)
 
-    def in_table(self, pair: np.ndarray) -> np.ndarray:
-        """Which pairs are counted by their symbols: all in a merged model, else those without a tail word."""
-        if self.merged:
-            return np.ones(len(pair), bool)
-        return (pair >> BITS != self.rare) & (pair & ((1 << BITS) - 1) != self.rare)
-
 
 def symbols(counts: DataFrame, docs: int, kept_docs: int, head: int, merged: bool) -> Symbols:
     bins = {r.bin: r.n for r in counts.groupBy(F.floor(8 * F.log2("c")).alias("bin")).agg(F.count("*").alias("n")).collect()}
@@ -154,135 +268,137 @@ def symbols(counts: DataFrame, docs: int, kept_docs: int, head: int, merged: boo
     return Symbols(col("word"), col("c"), col("r"), {"c": total.c or 0, "r": total.r or 0, "v": total.v, "docs": docs, "kept_docs": kept_docs}, merged, cut)
 
 
-def _pairs(shared, parts_n: int):
-    """Sorted pairs of symbols of the training texts for each partition, counted by kept (x) and deleted (y) texts."""
+def _part_of(hashed: np.ndarray, parts_n: int) -> np.ndarray:
+    return ((hashed.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts_n
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+#: Kinds of blocks, and bits of tails.
+PAIRS, TAILS, WORDS = 0, 1, 2
+V_TAIL, W_TAIL = 1, 2
+BLOCK = "part int, kind int, data binary"
+
+
+def _counted(shared, parts_n: int):
+    """Blocks of the pairs of symbols of the training texts, counted by kept and deleted texts; and of every pair with a tail word.
+
+    The columns of the latter: the words, as hashes if they are of the tail, else as symbols; 4 times the fold's kind (0
+    held out, 1 deleted, 2 kept) and the bits of tails; the text's key.  They are dealt by the token if it is of the tail.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Symbols = shared.value
-        ids = _Cache(s.find)
-        for whole in parts:
-            for at in range(0, len(whole), TEXTS):
-                part = whole.iloc[at : at + TEXTS]
-                part = part[part["fold"] != HELD_OUT]
-                if not len(part):
-                    continue
-                pair, sizes = _symbol_pairs(s, ids, part["text"])
-                kept = np.repeat((part["fold"].to_numpy() != DELETED).astype(np.int64), sizes)
-                table = s.in_table(pair)
-                pair, kept = pair[table], kept[table]
-                if not len(pair):
-                    continue
-                # One sort of packed numbers: pair, then whether the text is kept.
-                pair = np.sort((pair << 1) | kept)
+        for whole in _batches(parts):
+            first, second, sizes, far = s.ids(whole.column("text"))
+            fold = whole.column("fold").to_numpy()
+            kind = np.repeat(np.where(fold == HELD_OUT, 0, np.where(fold == DELETED, 1, 2)), sizes)
+            rows = []
+            v_tail, w_tail = first == s.rare, second == s.rare
+            tail = np.flatnonzero((v_tail | w_tail) & (not s.merged))
+            if len(tail):
+                v, w = first.copy(), second.copy()
+                w[w_tail] = far
+                v[np.flatnonzero(w_tail) + 1] = far  # an end follows every text's last word
+                key = np.repeat(whole.column("key").to_numpy(), sizes)[tail]
+                flag = kind[tail] * 4 + v_tail[tail] * V_TAIL + w_tail[tail] * W_TAIL
+                v, w = v[tail], w[tail]
+                for to, x in _blocks(_part_of(np.where(flag & W_TAIL, w, v), parts_n), v, w, flag, key):
+                    rows.append({"part": to, "kind": TAILS, "data": packed(*x)})
+            on = kind > 0 if s.merged else (kind > 0) & ~v_tail & ~w_tail
+            # One sort of packed numbers: pair, then whether the text is kept.
+            pair = np.sort((((first[on] << BITS) | second[on]) << 1) | (kind[on] == 2))
+            if len(pair):
                 kept, pair = pair & 1, pair >> 1
                 new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
                 r, n = np.add.reduceat(kept, new), np.diff(np.append(new, len(pair)))
-                pair = pair[new]
-                order = np.argsort(to := _part_of(pair, parts_n), kind="stable")
-                pair, to, r, n = pair[order], to[order], r[order].astype(np.int32), n[order].astype(np.int32)
-                edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-                rows = [(to[a], np.diff(pair[a:b], prepend=0), r[a:b], n[a:b] - r[a:b]) for a, b in zip(edge, [*edge[1:], len(to)])]
-                yield pd.DataFrame(rows, columns=["part", "step", "x", "y"])
+                for to, (x, a, b) in _blocks(_part_of(pair[new], parts_n), pair[new], r, n - r):
+                    rows.append({"part": to, "kind": PAIRS, "data": packed(np.diff(x, prepend=0), a, b)})
+            yield _rows(BLOCK, rows)
 
     return run
 
 
-def _symbol_pairs(s: Symbols, ids: _Cache, texts) -> tuple[np.ndarray, list[int]]:
-    pairs, sizes = [], []
-    for t in texts:
-        w = tokens(t)
-        i = np.empty(len(w) + 2, np.int64)
-        i[0], i[-1] = s.start, s.end
-        i[1:-1] = list(map(ids.__getitem__, w))
-        pairs.append((i[:-1] << BITS) | i[1:])
-        sizes.append(len(w) + 1)
-    return np.concatenate(pairs), sizes
-
-
-def _part_of(pair: np.ndarray, parts_n: int) -> np.ndarray:
-    return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts_n
-
+def _words(parts_n: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            word, c, r = (part.column(k).to_numpy() for k in ("word", "c", "r"))
+            yield _rows(BLOCK, [{"part": to, "kind": WORDS, "data": packed(*x)} for to, x in _blocks(_part_of(word, parts_n), word, c, r)])
 
-TEXT = {"is_text": "boolean", "doc_id": "long", "has_id": "boolean", "key": "long", "fold": "int", "n_tokens": "long", "known": "long", "base": "double", "rare": "array<long>"}
-NO_TEXT = (False, 0, False, 0, 0, 0, 0, 0.0, None)
-_TEXT = ", ".join(f"{k} {v}" for k, v in TEXT.items())
-SCAN = f"part int, step array<long>, x array<int>, keys array<long>, train array<int>, {_TEXT}"
+    return run
 
 
-def _scanned(shared, parts_n: int):
-    """For each partition, sorted pairs with the texts that they are in; and a row for each text.
+#: What a part's pairs come to: cells of held-out counts, or occurrences of pairs with a tail word, with the pair's
+#: counts and those of its tail words (0 if they are in no training text), but for the context of two tail words.
+LEARNT = "bucket long, q2 long, q1 long, held long, v long, w long, tails int, kind int, key long, n long, pr long, vc long, vr long, wc long, wr long"
 
-    A text's row has its known tokens and base score so far, and in a merged model the hashes of its rare words.
-    """
-    columns = [x.split()[0] for x in SCAN.split(", ")]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s: Symbols = shared.value
-        ids = _Cache(s.find)
-        n, v = s.total["c"] + s.total["docs"], s.total["v"] + (s.total["docs"] > 0)
-        base = np.log10((s.c + ALPHA) / (n + ALPHA * (v + 1)))
-        base[s.rare] = 0.0
-        for whole in parts:
-            for at in range(0, len(whole), TEXTS):
-                part = whole.iloc[at : at + TEXTS]
-                pair, sizes = _symbol_pairs(s, ids, part["text"])
-                doc = np.repeat(np.arange(len(part)), sizes)
-                second = pair & ((1 << BITS) - 1)
-                score = np.bincount(doc, base[second], len(part))
-                is_rare = second == s.rare
-                n_rare = np.bincount(doc[is_rare], minlength=len(part))
-                begin = np.cumsum(sizes) - sizes
-                rare = [None] * len(part)
-                for d in np.flatnonzero(n_rare) if s.merged else ():
-                    w = tokens(part["text"].iloc[d])
-                    where = np.flatnonzero(is_rare[begin[d] : begin[d] + sizes[d]])
-                    rare[d] = np.array([_hash(w[k]) for k in where], np.uint64).view(np.int64)
-                keys, fold = part["key"].to_numpy(), part["fold"].to_numpy()
-                known = np.array(sizes) - n_rare - (s.total["docs"] == 0)
-                rows = [(k % parts_n, None, None, None, None, True, i, h, k, *rest) for k, i, h, *rest in zip(keys.tolist(), part["doc_id"].tolist(), part["has_id"].tolist(), fold.tolist(), sizes, known.tolist(), score.tolist(), rare)]
-                table = s.in_table(pair)
-                pair, doc = pair[table], doc[table]
-                to = _part_of(pair, parts_n)
-                order = np.argsort((to << 2 * BITS) | pair)
-                pair, doc, to = pair[order], doc[order].astype(np.int32), to[order]
-                edge = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
-                for a, b in zip(edge, [*edge[1:], len(to)]):
-                    here, doc_at = np.unique(doc[a:b], return_inverse=True)
-                    rows.append((to[a], np.diff(pair[a:b], prepend=0), doc_at.astype(np.int32), keys[here], (fold[here] != HELD_OUT).astype(np.int32), *NO_TEXT))
-                yield pd.DataFrame(rows, columns=columns)
+def _gathered(parts: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[list[np.ndarray]]]]:
+    """The blocks of each part, by kind."""
+    out: dict[int, dict[int, list]] = {}
+    for part in parts:
+        for to, kind, data in zip(*(part.column(k).to_pylist() for k in ("part", "kind", "data"))):
+            out.setdefault(to, {PAIRS: [], TAILS: [], WORDS: []})[kind].append(unpacked(data))
+    return out
 
-    return run
 
+def _together(blocks: list[list[np.ndarray]], columns: int) -> list[np.ndarray]:
+    return [np.concatenate([*(x[k] for x in blocks), np.zeros(0, np.int64)]) for k in range(columns)]
 
-PAIRS = "part int, step array<long>, x array<int>, y array<int>"
 
+def _learnt(shared):
+    names = [x.split()[0] for x in LEARNT.split(", ")]
 
-def _pooled(shared):
-    """Held-out counts, pooled by bucket and by the steps of the two ratios to the lowest estimate."""
+    def rows(length: int, **columns: np.ndarray) -> pa.RecordBatch:
+        kind = lambda c: pa.int32() if c in ("tails", "kind") else pa.int64()
+        return pa.RecordBatch.from_arrays([pa.array(columns[c].astype(np.int64), kind(c)) if c in columns else pa.nulls(length, kind(c)) for c in names], names)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Symbols = shared.value
-        pair, r, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part in parts:
-            pair += [np.cumsum(x) for x in part["step"]]
-            r += [np.asarray(x, np.int64) for x in part["x"]]
-            d += [np.asarray(x, np.int64) for x in part["y"]]
-        pair, r, d = np.concatenate(pair), np.concatenate(r), np.concatenate(d)
-        if not len(pair):
-            return
-        order = np.argsort(pair, kind="stable")
-        pair, r, d = pair[order], r[order], d[order]
-        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        pair, r, d = pair[new], np.add.reduceat(r, new), np.add.reduceat(d, new)
-        pair, r, d = pair[d > 0], r[d > 0], d[d > 0]
-        if not len(pair):
-            return
-        bucket, p2, p1, p0 = s.parts(True, pair, r)
-        yield _cells(bucket, p2, p1, p0, d)
+        for blocks in _gathered(parts).values():
+            pair, r, d = _together([[np.cumsum(x), a, b] for x, a, b in blocks[PAIRS]], 3)
+            if len(pair):
+                pair, order = _sorted_with(pair, np.arange(len(pair)))
+                r, d = r[order], d[order]
+                new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+                pair, r, d = pair[new], np.add.reduceat(r, new), np.add.reduceat(d, new)
+                pair, r, d = pair[d > 0], r[d > 0], d[d > 0]
+            if len(pair):
+                x = _cells(*s.parts(True, pair, r), d)
+                yield rows(len(x), bucket=x["bucket"], q2=x["q2"], q1=x["q1"], held=x["n"])
+            v, w, flag, key = _together(blocks[TAILS], 4)
+            if not len(v):
+                continue
+            word, c, r = _together(blocks[WORDS], 3)
+            order = np.argsort(word)
+            word, c, r = np.append(word[order], 0), np.append(c[order], 0), np.append(r[order], 0)
+            tails, kind = flag & 3, flag >> 2
+            by_w = tails != V_TAIL
+            tail = np.where(by_w, w, v)
+            at = np.searchsorted(word[:-1], tail)
+            hit = (word[at] == tail) & (at < len(word) - 1)
+            c, r = np.where(hit, c[at], 0), np.where(hit, r[at], 0)
+            order = np.lexsort((tails, v, w))
+            same = np.ones(len(v), bool)
+            same[1:] = (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1]) | (tails[order][1:] != tails[order][:-1])
+            group = np.empty(len(v), np.int64)
+            group[order] = np.cumsum(same) - 1
+            n, pr = np.bincount(group, kind >= 1)[group], np.bincount(group, kind >= 2)[group]
+            yield rows(len(v), v=v, w=w, tails=tails, kind=kind, key=key, n=n, pr=pr, vc=np.where(by_w, 0, c), vr=np.where(by_w, 0, r), wc=np.where(by_w, c, 0), wr=np.where(by_w, r, 0))
 
     return run
 
 
+def _tails(learnt: DataFrame, low: DataFrame) -> DataFrame:
+    """The occurrences of pairs with tail words; contexts of two tail words get their counts by a join."""
+    t = learnt.where("tails is not null").drop("bucket", "q2", "q1", "held")
+    both = F.col("tails") == V_TAIL + W_TAIL
+    two = t.where(both).drop("vc", "vr").join(low.select(F.col("word").alias("v"), F.col("c").alias("vc"), F.col("r").alias("vr")), "v", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    t = t.where(~both).unionByName(two).select("tails", "kind", "key", "n", "pr", *map(zero, ("vc", "vr", "wc", "wr")), "v", "w")
+    # Symbols stay for a look into the table; hashes have done their work.
+    mine = lambda c, bit: F.when(F.col("tails").bitwiseAND(F.lit(bit)) == 0, F.col(c)).otherwise(0).alias(c)
+    return t.select("tails", "kind", "key", "n", "pr", "vc", "vr", "wc", "wr", mine("v", V_TAIL), mine("w", W_TAIL))
+
+
 def _cells(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: np.ndarray, d: np.ndarray) -> pd.DataFrame:
     step = lambda p: np.where(p > 0, np.round(POOL * np.log2(np.maximum(p, 1e-300) / p0)), NONE).astype(np.int64)
     cell, at = np.unique(np.stack([bucket, step(p2), step(p1)]), axis=1, return_inverse=True)
@@ -311,127 +427,120 @@ def learned(cells: list[tuple[int, int, int, int]], buckets: int = 64) -> np.nda
     return out
 
 
-SUMS = f"part int, keys array<long>, s array<double>, {_TEXT}"
+#: A block of pairs with the texts that they are in, a text, or the sums of a batch's texts over a part's pairs.
+SCAN = "part int, data binary, batch long, at int, doc_id long, key long, held_out boolean, n_tokens long, known long, base double, rare array<long>"
 
 
-def _scored(shared, weights: np.ndarray, parts_n: int):
-    """Sums of log10 probabilities over the pairs of a partition, packed by the partition of their text; the texts' rows pass through."""
-    columns = [x.split()[0] for x in SUMS.split(", ")]
+def _batch_part(batch: int, parts_n: int) -> int:
+    return int(_part_of(np.array([batch], np.int64), parts_n)[0])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _scanned(shared, parts_n: int):
+    """For each part, sorted pairs with the texts of the batch that they are in; and a row for each text.
+
+    A text's row has its known tokens and base score so far, and in a merged model the hashes of its rare words.  A batch
+    is known by its task and place, which are the same whenever the task runs again.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Symbols = shared.value
-        pair, doc, keys, train, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
-        for part in parts:
-            is_text = part["is_text"]
-            if is_text.any():
-                yield part.loc[is_text, ["part", *TEXT]].assign(keys=None, s=None)[columns]
-            pairs = part[~is_text]
-            for step, x, k, t in zip(pairs["step"], pairs["x"], pairs["keys"], pairs["train"]):
-                pair.append(np.cumsum(step))
-                doc.append(np.asarray(x, np.int32) + np.int32(n))
-                keys.append(np.asarray(k))
-                train.append(np.asarray(t))
-                n += len(k)
-        pair, doc, keys, train = map(np.concatenate, (pair, doc, keys, train))
-        if not len(pair):
-            return
-        order = np.argsort(pair, kind="stable")
-        pair, doc = pair[order], doc[order]
-        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        bucket, p2, p1, p0 = s.parts(False, pair[new], np.add.reduceat(train[doc].astype(np.int64), new))
-        w = weights[bucket]
-        log = np.repeat(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0), np.diff(np.append(new, len(pair))))
-        total = np.bincount(doc, log, n)
-        to = keys % parts_n
-        order = np.argsort(to, kind="stable")
-        to, keys, total = to[order], keys[order], total[order]
-        edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-        rows = [(to[a], keys[a:b], total[a:b], *NO_TEXT) for a, b in zip(edge, [*edge[1:], len(to)])]
-        yield pd.DataFrame(rows, columns=columns)
+        n, v = s.total["c"] + s.total["docs"], s.total["v"] + (s.total["docs"] > 0)
+        base = np.log10((s.c + ALPHA) / (n + ALPHA * (v + 1)))
+        base[s.rare] = 0.0
+        for k, whole in enumerate(_batches(parts)):
+            batch = TaskContext.get().partitionId() << 32 | k
+            first, second, sizes, far = s.ids(whole.column("text"))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            score = np.bincount(doc, base[second], len(sizes))
+            is_rare = second == s.rare
+            n_rare = np.bincount(doc[is_rare], minlength=len(sizes))
+            known = sizes - n_rare - (s.total["docs"] == 0)
+            fold = whole.column("fold").to_numpy()
+            train = (fold != HELD_OUT).astype(np.int64)
+            mine = {"part": pa.array(np.full(len(sizes), _batch_part(batch, parts_n), np.int32)), "data": pa.nulls(len(sizes), pa.binary()), "batch": pa.array(np.full(len(sizes), batch)), "at": pa.array(np.arange(len(sizes), dtype=np.int32))}
+            mine |= {"doc_id": whole.column("doc_id").combine_chunks(), "key": whole.column("key").combine_chunks(), "held_out": pa.array(fold == HELD_OUT), "n_tokens": pa.array(sizes), "known": pa.array(known), "base": pa.array(score)}
+            mine["rare"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)).astype(np.int32)), pa.array(far)) if s.merged else pa.nulls(len(sizes), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(mine)
+            on = np.ones(len(first), bool) if s.merged else (first != s.rare) & ~is_rare
+            pair, doc = (first[on] << BITS) | second[on], doc[on]
+            (pair, doc), rows = _sorted_with(pair, doc), []
+            new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+            runs, order = np.diff(np.append(new, len(pair))), np.arange(len(new))
+            for to, (x, m, k) in _blocks(_part_of(pair[new], parts_n), pair[new], runs, order):
+                begin = np.cumsum(m) - m
+                which = doc[np.repeat(new[k] - begin, m) + np.arange(int(m.sum()))]
+                data = b"".join([len(a := packed(np.diff(x, prepend=0), m)).to_bytes(8, "little"), a, len(a := packed(which)).to_bytes(8, "little"), a, packed(train)])
+                rows.append({"part": to, "data": data, "batch": batch})
+            if rows:
+                yield _rows(SCAN, rows)
 
     return run
 
 
-def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text's row with its sum. Equal rows share a key and so a sum, which is divided by their number."""
-    keys, sums, texts = [np.zeros(0, np.int64)], [np.zeros(0)], []
+def _texts_through(parts: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.RecordBatch]:
+    """The rows of texts pass, all others are put into blocks as (part, batch, data)."""
     for part in parts:
-        is_text = part["is_text"]
-        texts.append(part.loc[is_text, list(TEXT)])
-        keys += list(part.loc[~is_text, "keys"])
-        sums += list(part.loc[~is_text, "s"])
-    if not texts or not sum(map(len, texts)):
-        return
-    t = pd.concat(texts, ignore_index=True)
-    # a text may have no pair in the table
-    keys.append(t["key"].to_numpy(np.int64))
-    sums.append(np.zeros(len(t)))
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, np.concatenate(sums), len(key))
-    mine = np.searchsorted(key, t["key"].to_numpy(np.int64))
-    t["s"] = total[mine] / np.bincount(mine, minlength=len(key))[mine]
-    for a in range(0, len(t), 5000):
-        yield t.iloc[a : a + 5000]
-
-
-#: Bits of tails.
-V_TAIL, W_TAIL = 1, 2
-TAILS = "v long, w long, tails int, tail long, kind int, key long"
+        is_text = part.column("data").is_null()
+        if texts := is_text.true_count:
+            yield part.filter(is_text)
+        if texts < part.num_rows:
+            rest = part.filter(is_text.to_numpy(zero_copy_only=False) == 0)
+            blocks += zip(*(rest.column(k).to_pylist() for k in ("part", "batch", "data")))
 
 
-def _tail_pairs(shared):
-    """A row for each occurrence of a pair with a tail word: the words as hashes if they are of the tail, else as symbols.
-
-    tail: the hash to deal by, of the token if it is of the tail.  kind: 0 held out, 1 deleted, 2 kept.
-    """
+def _scored(shared, weights: np.ndarray, parts_n: int):
+    """Sums of log10 probabilities over the pairs of a part for the texts of each batch; the texts' rows pass through."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Symbols = shared.value
-        ids = _Cache(s.find)
-        for whole in parts:
-            for at in range(0, len(whole), TEXTS):
-                part = whole.iloc[at : at + TEXTS]
-                rows = []
-                for t, key, fold in zip(part["text"], part["key"].tolist(), part["fold"].tolist()):
-                    words = tokens(t)
-                    i = np.array([s.start, *map(ids.__getitem__, words), s.end], np.int64)
-                    tail = i == s.rare
-                    where = np.flatnonzero(tail)
-                    if not len(where):
-                        continue
-                    i[where] = np.array([_hash(words[k - 1]) for k in where], np.uint64).view(np.int64)
-                    first = np.flatnonzero(tail[:-1] | tail[1:])
-                    rows.append((i[first], i[first + 1], tail[first] * V_TAIL + tail[first + 1] * W_TAIL, key, 0 if fold == HELD_OUT else 1 if fold == DELETED else 2))
-                if not rows:
-                    continue
-                v, w, tails = (np.concatenate([r[k] for r in rows]) for k in range(3))
-                sizes = [len(r[0]) for r in rows]
-                one = lambda k, kind: np.repeat(np.array([r[k] for r in rows], kind), sizes)
-                yield pd.DataFrame({"v": v, "w": w, "tails": tails.astype(np.int32), "tail": np.where(tails & W_TAIL, w, v), "kind": one(4, np.int32), "key": one(3, np.int64)})
+        held: list[tuple[int, int, bytes]] = []
+        yield from _texts_through(parts, held)
+        for of in sorted({x[0] for x in held}):
+            mine = [x for x in held if x[0] == of]
+            pairs, counts, docs = [], [], []
+            for _, _, data in mine:
+                cut = 8 + int.from_bytes(data[:8], "little")
+                step, m = unpacked(data[8:cut])
+                to = cut + 8 + int.from_bytes(data[cut : cut + 8], "little")
+                (which,), (train,) = unpacked(data[cut + 8 : to]), unpacked(data[to:])
+                pairs.append(np.cumsum(step))
+                counts.append(np.add.reduceat(train[which], np.cumsum(m) - m))
+                docs.append((m, which.astype(np.uint32), len(train)))
+            sizes = np.array(list(map(len, pairs)))
+            pair = np.concatenate(pairs)
+            pair, order = _sorted_with(pair, np.arange(len(pair)))
+            new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            bucket, p2, p1, p0 = s.parts(False, pair[new], np.add.reduceat(np.concatenate(counts)[order], new))
+            w = weights[bucket]
+            log = np.empty(len(pair))
+            log[order] = np.repeat(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0), np.diff(np.append(new, len(pair))))
+            del pair, order, pairs, counts
+            rows = []
+            for (_, batch, _), a, b, (m, which, n) in zip(mine, np.cumsum(sizes) - sizes, np.cumsum(sizes), docs):
+                rows.append({"part": _batch_part(batch, parts_n), "batch": batch, "data": np.bincount(which, np.repeat(log[a:b], m), n).tobytes()})
+            yield _rows(SCAN, rows)
 
     return run
 
 
-def _tails(d: DataFrame, counts: DataFrame, shared) -> DataFrame:
-    """The occurrences of _tail_pairs with n and r, the pair's counts, and c and r of its tail words (vc, vr, wc, wr; 0 if they are in no training text)."""
-    s: Symbols = shared.value
-    low = counts.where(F.floor(8 * F.log2("c")) < s.cut)
-    # The join, and the pairs' counts by the same dealing, need one shuffle; only pairs of two tail words need another.
-    t = d.mapInPandas(_tail_pairs(shared), TAILS).join(low.withColumnRenamed("word", "tail"), "tail", "left")
-    pair = Window.partitionBy("tail", "v", "w", "tails")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    count = lambda k: F.sum((F.col("kind") >= k).cast("long")).over(pair)
-    is_v, is_w = F.col("tails") == V_TAIL, F.col("tails") != V_TAIL
-    t = t.select(
-        F.when(~is_v, F.col("v")).otherwise(0).alias("v"), F.when(is_v, F.col("w")).otherwise(0).alias("w"),
-        "tails", "kind", "key", count(1).alias("n"), count(2).alias("pr"),
-        F.when(is_v, zero("c")).otherwise(0).alias("vc"), F.when(is_v, zero("r")).otherwise(0).alias("vr"),
-        F.when(is_w, zero("c")).otherwise(0).alias("wc"), F.when(is_w, zero("r")).otherwise(0).alias("wr"),
-    )
-    t = stored(t, "lm-tails")
-    both = F.col("tails") == V_TAIL + W_TAIL
-    two = t.where(both).drop("vc", "vr").join(low.select(F.col("word").alias("v"), F.col("c").alias("vc"), F.col("r").alias("vr")), "v", "left")
-    return t.where(~both).unionByName(two.withColumns({"vc": zero("vc"), "vr": zero("vr")}))
+TEXT = "doc_id long, key long, held_out boolean, n_tokens long, known long, base double, rare array<long>, s double"
+
+
+def _summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's row with its sum."""
+    sums: dict[int, np.ndarray] = {}
+    texts = []
+    for part in parts:
+        held: list[tuple[int, int, bytes]] = []
+        texts += _texts_through(iter([part]), held)
+        for _, batch, data in held:
+            x = np.frombuffer(data)
+            sums[batch] = sums[batch] + x if batch in sums else x
+    for part in texts:
+        batch, at = part.column("batch").to_pylist(), part.column("at").to_pylist()
+        # a batch may have no pair in the table
+        s = pa.array([float(sums[b][k]) if b in sums else 0.0 for b, k in zip(batch, at)], pa.float64())
+        yield pa.RecordBatch.from_arrays([*(part.column(x.split()[0]) for x in TEXT.split(", ")[:-1]), s], [x.split()[0] for x in TEXT.split(", ")])
 
 
 def _tail_estimates(s: Symbols, kept: bool, part: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -469,33 +578,36 @@ def _tail_scored(shared, weights: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int | None = None, table: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int | None = None, table: int = TABLE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     head: at most so many words are kept apart (by default all are); table: words in the broadcast table, which changes no result.
     """
     merged = head is not None
     spark = docs.sparkSession
+    bounded_batches(spark)
     d = _input(docs, text, key)
-    counts = stored(d.where(F.col("fold") != HELD_OUT).mapInPandas(_unigrams, "word long, c long, r long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("r").alias("r")), "lm-words")
+    counts = stored(d.mapInArrow(_unigrams, "word long, c long, r long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("r").alias("r")), "lm-words")
     by = {r.fold: r.n for r in d.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     train = sum(n for f, n in by.items() if f != HELD_OUT)
-    s = symbols(counts, train, train - by.get(DELETED, 0), head if merged else min(table, MOST), merged)
+    s = symbols(counts, train, train - by.get(DELETED, 0), head if merged else min(table, TABLE), merged)
     shared = spark.sparkContext.broadcast(s)
     total = s.total["c"] + train
     parts_n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARE)
+    low = counts.where(F.floor(8 * F.log2("c")) < s.cut)
 
-    pooled = d.mapInPandas(_pairs(shared, parts_n), PAIRS).repartition(parts_n, "part")
-    pooled = pooled.mapInPandas(_pooled(shared), "bucket long, q2 long, q1 long, n long")
-    tails = None if merged else _tails(d, counts, shared)
+    blocks = d.mapInArrow(_counted(shared, parts_n), BLOCK)
+    if not merged:
+        blocks = blocks.unionByName(low.mapInArrow(_words(parts_n), BLOCK))
+    learnt = stored(blocks.repartitionById(parts_n, F.col("part")).mapInArrow(_learnt(shared), LEARNT), "lm-learnt")
+    cells = learnt.where("tails is null").select("bucket", "q2", "q1", F.col("held").alias("n"))
+    tails = None if merged else stored(_tails(learnt, low), "lm-tails")
     if tails is not None:
-        pooled = pooled.unionByName(tails.where("kind = 1").mapInPandas(_tail_pooled(shared), pooled.schema))
-    cells = pooled.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).collect()
-    weights = learned([tuple(r) for r in cells])
+        cells = cells.unionByName(tails.where("kind = 1").mapInPandas(_tail_pooled(shared), "bucket long, q2 long, q1 long, n long"))
+    weights = learned([tuple(r) for r in cells.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).collect()])
 
-    sums = d.mapInPandas(_scanned(shared, parts_n), SCAN).repartition(parts_n, "part").mapInPandas(_scored(shared, weights, parts_n), SUMS)
-    texts = sums.repartition(parts_n, "part").mapInPandas(_summed, f"{_TEXT}, s double")
-    texts = stored(texts, "lm-texts")
+    sums = d.mapInArrow(_scanned(shared, parts_n), SCAN).repartitionById(parts_n, F.col("part")).mapInArrow(_scored(shared, weights, parts_n), SCAN)
+    texts = stored(sums.repartitionById(parts_n, F.col("part")).mapInArrow(_summed, TEXT), "lm-texts")
 
     more = ("more_known", "more_base", "more_score")
     if tails is None:
@@ -514,7 +626,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int |
     per = stored(rare.join(copies, "key").select("key", *[(F.col(c) / F.col("copies")).alias(c) for c in more]), "lm-rare")
     both = texts.join(per, "key", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in more})
     return both.select(
-        F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens",
+        "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.round("more_known").cast("long")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("more_base")).alias("base_score"),

@@ -103,7 +103,7 @@ def test_words_beyond_the_table_stay_apart(spark, many, monkeypatch):
     kept = {}
     real = lm.learned
     monkeypatch.setattr(lm, "learned", lambda cells: kept.setdefault("w", real(kept.setdefault("cells", cells))))
-    got = lm.score(spark.createDataFrame(rows, DOCS), **({} if many else {"table": 40})).collect()
+    got = lm.score(spark.createDataFrame(rows, DOCS), table=lm.HEAD if many else 40).collect()
     want, c, n, v, train, cut = brute(rows, None)
     assert not many or v > lm.HEAD
     norm = lambda r: tuple(round(x, 4) if isinstance(x, float) else x for x in r)
