@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import neutral, small, stored
 
 WINDOW = 8
 LITERALS = 4
@@ -126,7 +126,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the documents that hold a benchmark item."""
+    docs, (text, key), back = neutral(docs, text, key)
     bad = stored(leaks(docs, benchmark, text, key).select(F.col("doc_id").alias("l_doc"), F.col("text_hash").alias("l_hash")).distinct(), "leaks")
     bad = small(bad, BROADCAST_IDS)
     same = docs[key].eqNullSafe(bad["l_doc"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == bad["l_hash"])
-    return docs.join(bad, same, "left_anti")
+    return back(docs.join(bad, same, "left_anti"))

@@ -19,10 +19,14 @@ Candidates come from the buckets without listing all pairs of a bucket:
    there, each in the first band that it shares, and a block puts out only the
    links that join classes.
 
-So no pair that meets in a bucket and is similar enough ends in two classes.
-A pair at similarity 0.8 meets in a bucket with probability 0.9999.
-
-Null and empty texts have no words and form one class.  A null id is the
+A pair at similarity 0.8 meets in a bucket with probability 0.9999.  Step 1 loses
+no pair that meets its leader; step 2 loses a pair at exactly 0.8 with probability
+0.0002, as its signature may agree in less than the reach of 80 components of 120
+(at 0.82 that is 0.00002); links of either step come from the exact similarity of
+all shingles, as 64-bit hashes.
+
+Tables that clash in names lose none: columns are read by position.  A very long
+text is one row of hashes.  Null and empty texts have no words and form one class.  A null id is the
 largest; a class is named after its smallest id.  Repeated rows are in one class.
 """
 
@@ -35,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, words
+from .common import bounded_batches, neutral, small, stored, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -147,6 +151,7 @@ def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def signed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    bounded_batches(docs.sparkSession)
     d = _read(docs, text, key)
     # Numbers with nulls would pass through floats in pandas: a missing id is a flag.
     d = d.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "node", "text_hash", "shingles")
@@ -182,8 +187,8 @@ def shingled(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, ke
     """(node, s): the shingles of the wanted nodes, whose texts are read again."""
     ids = stored(nodes.select("node", "rep").join(wanted, "node", "left_semi"), "asked")
     has = small(ids.select(F.col("rep").alias("rep_id")).distinct(), BROADCAST_IDS)
-    d = docs.join(has, docs[key].cast("long").eqNullSafe(F.col("rep_id")), "left_semi")
-    d = _read(d, text, key).select("node", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("s"))
+    d = docs.join(has, docs[key].cast("long").eqNullSafe(has["rep_id"]), "left_semi")
+    d = _read(d, text, key).select("node", F.col("shingles").alias("s"))
     return d.join(ids.select(F.col("node").alias("asked")), F.col("node") == F.col("asked"), "left_semi").select("node", "s").dropDuplicates(["node"])
 
 
@@ -252,6 +257,7 @@ def _across(similarity: float):
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, node, class_id and class_node for each row of docs."""
+    docs, (text, key), _ = neutral(docs.select(text, key), text, key)
     rows = stored(signed(docs, text, key), "signatures")
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     b = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
@@ -285,6 +291,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class: that of the smallest id (of its copies with that id, the smallest text hash)."""
+    docs, (text, key), back = neutral(docs, text, key)
     c = stored(classes(docs, text, key, similarity), "classes")
     keeps = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))
     marked = c.groupBy("class_node", "node", "doc_id", "text_hash").agg(F.count("*").alias("n"), F.min(keeps).alias("keeps"))
@@ -297,6 +304,6 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", simil
     out = docs.join(gone, same(gone), "left_anti")
     again = stored(marked.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")), "repeated")
     if not again.limit(1).count():
-        return out
+        return back(out)
     twice = out.join(again, same(again), "left_semi").dropDuplicates([key, text])
-    return out.join(again, same(again), "left_anti").unionByName(twice)
+    return back(out.join(again, same(again), "left_anti").unionByName(twice))

@@ -50,6 +50,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.passages(table(spark, sf_dir, "documents"))
+
+
+def line_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator without a least length: every repeated line and paragraph, single words too."""
     return line_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
@@ -63,7 +68,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_interpolated_score, op3_near_duplicates, op4_warc_round_trip, op5_quality_rules, op6_sampled_segmentations, op7_token_counts, op8_line_dedup, op9_url_filter, op10_secret_scan)
+    f.__name__: f for f in (op1_decontamination, op2_interpolated_score, op3_near_duplicates, op4_warc_round_trip, op5_quality_rules, op6_sampled_segmentations, op7_token_counts, op8_line_dedup, op9_url_filter, op10_secret_scan, line_repeats)
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)

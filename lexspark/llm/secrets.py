@@ -15,7 +15,8 @@ role, and a candidate meets the cells within reach.  As cells are as wide as the
 scope, those two numbers decide exactly, and no pairs of parts are made.  No
 Python runs on executors.
 
-Offsets are code points, ends exclusive.  Null and empty texts have no spans.
+Offsets are code points, ends exclusive.  Null and empty texts have no spans.  A
+very long text is one row of spans.  Columns of any name pass through.
 Weak candidates that overlap a base span are dropped, as that is reported.
 Repeated rows are reported each; rows link only within their own text.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import neutral, stored
 
 SCOPE = 256
 #: The kinds in order of listing, base kinds first.
@@ -125,6 +126,8 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", scope: int
 
 def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str = "[SECRET]", scope: int = SCOPE, count: str | None = None) -> DataFrame:
     """docs with every span, overlapping ones as one, replaced by mask; column count, if named, gets the new length. Others stay."""
+    kind = docs.schema[count].dataType if count else None
+    docs, (text, key, count), back = neutral(docs, text, key, count)
     found = scanned(docs, text, key)
     out = found.join(stored(linked(stored(found.select("s_key", "s_base", "s_weak"), "secret-spans"), scope), "secret-links"), "s_key", "left")
     out = out.withColumn("s_all", F.sort_array(F.concat("s_base", F.coalesce("s_more", F.array().cast(SPAN)))))
@@ -138,5 +141,5 @@ def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str
     masked = F.size("s_all") > 0
     out = out.withColumn(text, F.when(masked, clean).otherwise(F.col(text)))
     if count:
-        out = out.withColumn(count, F.when(masked, F.length(text).cast(docs.schema[count].dataType)).otherwise(F.col(count)))
-    return out.select(*docs.columns)
+        out = out.withColumn(count, F.when(masked, F.length(text).cast(kind)).otherwise(F.col(count)))
+    return back(out)

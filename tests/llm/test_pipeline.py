@@ -1,6 +1,7 @@
 """The pipeline on small tables, against plain Python for each decision."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexspark.llm import segmentations
@@ -49,3 +50,20 @@ def test_run_on_empty_documents(spark, tmp_path):
     tables(spark, str(tmp_path))
     spark.createDataFrame([], DOCS).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_leave_columns_of_any_name(spark, tmp_path):
+    """The names that operators use for their own columns, as extra columns of documents."""
+    texts = tables(spark, str(tmp_path))
+    names = ["s_text", "s_assign", "s_key", "s_weak", "s_base", "s_all", "q_hash", "q_id", "n_words", "rep_id", "node", "g_id", "l_doc", "hash", "c0", "C1", "class_id", "bucket"]
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = plain.select(*plain.columns, *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/wide-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/wide-{name}")
+        assert docs.columns == columns, name
+    rows = docs.collect()
+    assert len(rows) == 61 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert texts[3] in {r.text for r in rows}
