@@ -13,7 +13,10 @@ Content-Length.  Payloads may hold the magic too: a candidate counts only if the
 chain from offset 0 of its file reaches it.  Inside a byte range the chains are
 walked by one task; between ranges, pointer jumping doubles the jumps, so a file
 of n ranges takes log2(n) rounds.  No step gathers more than one byte range or
-one record.  A broken chain ends at the last record that it reaches.
+one record.  A broken chain ends at the last record that it reaches.  Sizes and
+digests come from the payloads; a revisit takes those of the response that it
+refers to, and what it says itself only where no response of that name has the
+digest that it names.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import bounded_batches, shared_path, stored
 
 MAGIC = b"WARC/1.0\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -163,8 +166,9 @@ def candidates(spark: SparkSession, path: str, with_payload: bool = False) -> Da
 def _placed(found: DataFrame) -> DataFrame:
     """Absolute offsets: a byte range begins where what earlier ranges of the file have read ends."""
     ranges = found.groupBy("file", "range").agg(F.sum("span").alias("span"))
-    earlier = ranges.select("file", F.col("range").alias("before"), "span")
-    starts = ranges.select("file", "range").join(earlier, "file", "left").groupBy("file", "range").agg(F.coalesce(F.sum(F.when(F.col("before") < F.col("range"), F.col("span"))), F.lit(0)).alias("start"))
+    # A row for each byte range: a file has as many as its bytes by the size of a split.
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("file", "range", F.coalesce(F.sum("span").over(before), F.lit(0)).alias("start"))
     # What precedes the first magic of a file is no candidate.
     return found.join(starts, ["file", "range"]).withColumn("off", F.col("rel") + F.col("start") - len(MAGIC)).where("off >= 0")
 
@@ -213,9 +217,10 @@ def _joined(group: pd.DataFrame) -> pd.DataFrame:
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """type, id, refers, payload_bytes, payload_digest (and payload) of each record of the archives in path."""
+    bounded_batches(spark)
     c = stored(candidates(spark, path, with_payload), "warc-placed")
     good = stored(c.join(reachable(c), ["file", "range", "off"], "left_semi"), "warc-good")
-    out = good.where("whole").select("type", "id", "refers", F.when(F.col("type") == "revisit", F.coalesce("declared", "payload_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "payload")
+    out = good.where("whole").select("type", "id", "refers", "payload_bytes", "declared", F.col("digest").alias("payload_digest"), "payload")
     # A block that holds the magic lies in several pieces: they are read again and met by cells of the file.
     torn = good.where("not whole")
     if torn.limit(1).count():
@@ -224,9 +229,14 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
         raw = raw.withColumn("cell", F.floor(F.col("off") / CELL))
         whole = raw.join(cells, ["file", "cell"]).where("off >= record and off < next").select("file", "record", "off", "raw")
         whole = whole.groupBy("file", "record").applyInPandas(_joined, "file string, off long, got_bytes long, got_digest string, got binary")
-        fixed = torn.join(whole, ["file", "off"]).select("type", "id", "refers", F.col("got_bytes").alias("payload_bytes"), F.col("got_digest").alias("payload_digest"), F.col("got").alias("payload"))
+        fixed = torn.join(whole, ["file", "off"]).select("type", "id", "refers", F.col("got_bytes").alias("payload_bytes"), "declared", F.col("got_digest").alias("payload_digest"), F.col("got").alias("payload"))
         out = out.union(fixed if with_payload else fixed.withColumn("payload", F.lit(None).cast("binary")))
-    return out if with_payload else out.drop("payload")
+    again = F.col("type") == "revisit"
+    first = out.where(~again | again.isNull()).groupBy(F.col("id").alias("f_id")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("f"))
+    revisits = out.where(again).join(stored(first, "warc-responses"), (F.col("refers") == F.col("f_id")) & (F.col("payload_digest") == F.col("f.payload_digest")), "left")
+    revisits = revisits.withColumn("payload_bytes", F.coalesce("f.payload_bytes", "declared", "payload_bytes"))
+    columns = ["type", "id", "refers", "payload_bytes", "payload_digest", *(["payload"] if with_payload else [])]
+    return out.where(~again | again.isNull()).select(*columns).union(revisits.select(*columns))
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
