@@ -5,9 +5,11 @@ own pre-tokenizer never joins characters across white space, so a text has as
 many tokens as its pre-tokens together.  Tier one is a broadcast table of the
 lengths of frequent pre-tokens, at most ``frequent`` of them, from a random sample of
 about ``sample_rows`` documents (it only saves work; any other table gives the
-same counts).  Tier two is a cache in each worker, emptied when it holds
+same counts): each task of the sample sends its commonest pre-tokens, SENT of all
+tasks together at most, and the driver adds them up.  Tier two is a cache in each worker, emptied when it holds
 ``cached`` entries; what it lacks is encoded by the library.  No pre-token is
-shuffled and no row moves.
+shuffled, not even one of the sample, and no row moves.  Texts come in batches
+bounded in bytes, so that a very long one stands alone; other columns are not read.
 
 Vocabularies whose tokens span white space must not use this operator: the
 tokenizer file is checked for one that drops white space.  Special strings in a
@@ -26,12 +28,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 LIMIT = 2048
 FREQUENT = 50_000
 SAMPLE_ROWS = 2_000
-CACHED = 500_000
-#: Texts that are split at a time.
-TEXTS = 1000
+CACHED = 400_000
+#: Characters of an entry of the first tier.
+LONGEST = 64
+#: Entries that the sample's tasks send to the driver, about.
+SENT = 400_000
 _GAPS = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -54,20 +60,21 @@ def frequent_lengths(docs: DataFrame, tokenizer_file: str, text: str = "text", f
     """Tier one. Each task of the sample sends its commonest pre-tokens only."""
     from tokenizers import Tokenizer
 
-    share = min(1.0, sample_rows / max(1, docs.count()))
+    few = docs.select(F.col(text).cast("string").alias("t")).sample(min(1.0, sample_rows / max(1, docs.count())), seed=7)
+    most = min(frequent, max(100, SENT // max(1, few.rdd.getNumPartitions())))
 
     def common(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
         for part in parts:
             for t in part["t"]:
-                n.update(_GAPS.split(t) if t else ())
-        n.pop("", None)
-        if top := n.most_common(frequent):
+                n.update(x for x in _GAPS.split(t) if 0 < len(x) <= LONGEST) if t else None
+        if top := n.most_common(most):
             yield pd.DataFrame({"w": [x[0] for x in top], "n": [x[1] for x in top]})
 
-    few = docs.select(F.col(text).cast("string").alias("t")).sample(share, seed=7).mapInPandas(common, "w string, n long")
-    rows = few.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(frequent).collect()
-    pre = [r.w for r in rows if len(r.w) <= 64]
+    total: Counter[str] = Counter()
+    for r in few.mapInPandas(common, "w string, n long").toLocalIterator():
+        total[r.w] += r.n
+    pre = sorted(sorted(total), key=total.__getitem__, reverse=True)[:frequent]
     return dict(zip(pre, _lengths(Tokenizer.from_file(tokenizer_file), pre))) if pre else {}
 
 
@@ -75,6 +82,7 @@ def count(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs."""
     if not drops_white_space(tokenizer_file):
         raise ValueError(f"{tokenizer_file}: its tokens may span white space")
+    bounded_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer_file, text, frequent))
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
 
@@ -82,20 +90,18 @@ def count(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "
         from tokenizers import Tokenizer
 
         tokenizer, first, cache = Tokenizer.from_str(spec.value), table.value, {}
-        for whole in parts:
-            for at in range(0, len(whole), TEXTS):
-                part = whole.iloc[at : at + TEXTS]
-                split = [_GAPS.split(t) if t else [] for t in part["t"]]
-                words: set[str] = set().union(*split)
-                words.discard("")
-                new = [w for w in words if w not in first and w not in cache]
-                if len(cache) + len(new) > cached:
-                    cache, new = {}, [w for w in words if w not in first]
-                for k in range(0, len(new), 10_000):
-                    cache.update(zip(new[k : k + 10_000], _lengths(tokenizer, new[k : k + 10_000])))
-                both = {w: first[w] if w in first else cache[w] for w in words} | {"": 0}
-                n = [sum(map(both.__getitem__, ws)) for ws in split]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "has_id": part["has_id"], "n_bytes": part["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
+        for part in parts:
+            split = [_GAPS.split(t) if t else [] for t in part["t"]]
+            words: set[str] = set().union(*split)
+            words.discard("")
+            new = [w for w in words if w not in first and w not in cache]
+            if len(cache) + len(new) > cached:
+                cache, new = {}, [w for w in words if w not in first]
+            for k in range(0, len(new), 10_000):
+                cache.update(zip(new[k : k + 10_000], _lengths(tokenizer, new[k : k + 10_000])))
+            both = {w: first[w] if w in first else cache[w] for w in words} | {"": 0}
+            n = [sum(map(both.__getitem__, ws)) for ws in split]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "has_id": part["has_id"], "n_bytes": part["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
     # Numbers with nulls would pass through floats in pandas: a missing id is a flag.
     number = F.col(key).cast("long")
