@@ -69,6 +69,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+_HELD: dict = {}
+
+
+def held(key=None, make: Callable[[], object] | None = None):
+    """The one object that a worker keeps from task to task; another key's makes way, and without a key none is kept."""
+    if key is None or key not in _HELD:
+        _HELD.clear()
+        if make:
+            _HELD[key] = make()
+    return _HELD.get(key)
+
+
 def neutral(df: DataFrame, *wanted: str | None) -> tuple[DataFrame, list[str | None], Callable[..., DataFrame]]:
     """df with its columns named c0, c1 and so on, so that no name clashes with an operator's own; the new names of wanted; and what gives back the old ones.
 

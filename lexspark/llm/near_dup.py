@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, neutral, small, stored, words
+from .common import bounded_batches, held, neutral, small, stored, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -80,7 +80,7 @@ def signatures(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: i
     e, w, d = element[~alone], weight[~alone], doc[~alone]
     clock, last, step = np.zeros(len(e)), np.full(docs, np.inf), 0
     while len(e):
-        r = _mix(e + np.uint64(step + 1) * _GOLD)
+        r = _mix(e + np.uint64((step + 1) * int(_GOLD) & (2**64 - 1)))
         clock = clock - np.log(((r >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53) / w
         go = clock < last[d]
         e, w, d, clock, r = e[go], w[go], d[go], clock[go], r[go]
@@ -133,6 +133,7 @@ def _jaccard(x: np.ndarray, xn: np.ndarray, y: np.ndarray, yn: np.ndarray) -> fl
 
 
 def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held()  # what other operators keep in this worker
     for part in parts:
         for s in range(0, len(part), 2000):
             p = part.iloc[s : s + 2000]

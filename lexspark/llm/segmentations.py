@@ -43,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, held
 
 SAMPLES = 2
 SPACE = "▁"
 #: Characters of the tokens whose lattices a worker keeps.
-KEPT = 1_500_000
+KEPT = 600_000
 #: Bytes of texts at a time.
-BATCH = 2 << 20
+BATCH = 1 << 19
 OUT = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, decodes boolean"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters with a column of their own in the trie's table.
@@ -430,16 +430,9 @@ def sampled(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int) -> list[
     return [[(pieces.spelt(lat.ident[path].astype(np.int64))[0], *rest) for path, *rest in found] for found in paths(lat, texts, keys, k)]
 
 
-_KNOWN: dict[bytes, Lattice] = {}
-
-
 def _lattice(model: bytes) -> Lattice:
-    """The worker's lattices for a model; those of one model are held."""
-    key = hashlib.sha256(model).digest()
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = Lattice(Pieces(model))
-    return _KNOWN[key]
+    """The worker's lattices for a model."""
+    return held(hashlib.sha256(model).digest(), lambda: Lattice(Pieces(model)))
 
 
 def encoded(lat: Lattice, ids: pa.Array, texts: list[str], seeds: np.ndarray, samples: int) -> pa.RecordBatch:
