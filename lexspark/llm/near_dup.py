@@ -46,6 +46,8 @@ SIMILARITY = 0.8
 M = 120
 BANDS = 24
 BLOCK = 1024
+#: So many edges at most are left to one task, which holds about 100 bytes of each.
+LAST_EDGES = 200_000
 #: Ids are broadcast up to this many, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -160,12 +162,35 @@ def signed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return out.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every end of the edges (a, b). Each round, nodes move to their least neighbour in a new random order."""
+def _least(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, to) for every node of a few edges: to is one node of its component."""
+    edges = pd.concat([pd.DataFrame({"a": [], "b": []}), *parts], ignore_index=True)
+    code, node = pd.factorize(pd.concat([edges["a"], edges["b"]], ignore_index=True))
+    a, b = code[: len(edges)], code[len(edges) :]
+    up, before = np.arange(len(node)), None
+    while before is None or (up != before).any():
+        before = up.copy()
+        least = np.minimum(up[a], up[b])
+        np.minimum.at(up, a, least)
+        np.minimum.at(up, b, least)
+        np.minimum.at(up, before, up)  # what hangs below a root that moved comes along
+        up = up[up]
+    if len(node):
+        yield pd.DataFrame({"id": node, "to": node[up]})
+
+
+def components(edges: DataFrame, last: int = LAST_EDGES) -> DataFrame:
+    """(node, root) for every end of the edges (a, b).
+
+    Each round, nodes move to their least neighbour in a new random order, which leaves fewer edges; the last ones go to one task.
+    """
     e = stored(edges.where("a <> b").distinct(), "edges")
     roots = stored(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("root", F.col("node")), "roots")
     step = 0
-    while e.limit(1).count():
+    while n := e.count():
+        if n <= last:
+            to = stored(e.coalesce(1).mapInPandas(_least, "id binary, to binary"), "moves")
+            return stored(roots.join(to, F.col("root") == F.col("id"), "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
         rank = lambda c, s=step: F.struct(F.xxhash64(F.lit(s), F.col(c)), F.col(c).alias("id"))
         ends = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = ends.groupBy("a").agg(F.min(rank("b")).alias("least"))

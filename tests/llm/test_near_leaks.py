@@ -149,3 +149,25 @@ def test_items_of_few_words_are_found_verbatim(spark):
     df = spark.createDataFrame([(k, t, 1, 2, "x", 3) for k, t in texts.items()], DOCS)
     got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(0, 0, "verbatim"), (2, 1, "verbatim"), (4, 2, "verbatim"), (5, 2, "verbatim"), (7, 4, "verbatim")}
+
+
+@pytest.mark.parametrize("last", [0, 10, 10_000])
+def test_components_against_brute_force(spark, last):
+    r = random.Random(9)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(90)] + [(300, 300)]
+    r.shuffle(edges)
+    up = {x: x for e in edges[:] for x in e}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for a, b in edges:
+        up[top(a)] = top(b)
+    name = lambda x: x.to_bytes(16, "big")
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")
+    got = {int.from_bytes(x.node, "big"): int.from_bytes(x.root, "big") for x in near_dup.components(df, last).collect()}
+    want = {x for e in edges if e[0] != e[1] for x in e}
+    assert set(got) == want
+    groups = lambda f: {frozenset(y for y in want if f(y) == f(x)) for x in want}
+    assert groups(got.get) == groups(top)
+    assert near_dup.components(df.limit(0), last).collect() == []
