@@ -11,6 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(text: str) -> str:
+    """A text as a literal of SQL, line ends and form feeds spelt out."""
+    t = "'" + text.replace("'", "''") + "'"
+    for char, code in (("\n", 10), ("\f", 12)):
+        t = t.replace(char, f"' || chr({code}) || '")
+    return f"({t})" if "chr(" in t else t
+
+
 def registry():
     """(queries, oracle, decorator): the decorator registers a query under its name, with its SQL."""
     queries, oracle = {}, {}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks as C
-from .base import ALL, TOK, registry, table
+from .base import ALL, TOK, quoted, registry, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -62,10 +62,10 @@ def index_line_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(F.filter("l", T.is_index_line)).cast("long").alias("n_index"), F.size("l").cast("long").alias("n_lines"))
 
 
-_SCORE = " + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END" for p, w in T.TITLE_SIGNS)
+_SCORE = " + ".join(f"CASE WHEN regexp_matches(t, {quoted(p)}) THEN {w} ELSE 0 END" for p, w in T.TITLE_SIGNS)
 
 
-@query(f"""SELECT page_id, s + CASE WHEN length(t) < 500 AND s > 0 THEN 1 ELSE 0 END AS score FROM
+@query(rf"""SELECT page_id, s + CASE WHEN length(regexp_replace(t, '^\s+|\s+$', '', 'g')) < 500 AND s > 0 THEN 1 ELSE 0 END AS score FROM
            (SELECT page_id, t, {_SCORE} AS s FROM (SELECT page_id, coalesce(html, '') || CASE WHEN page_id % 3 = 0 THEN ' SUPREME COURT Index No. 7 Plaintiff, ' ELSE '' END AS t FROM pages))""")
 def title_page_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
@@ -125,7 +125,7 @@ def dictionary_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(f, "term", "left").groupBy("doc_id").agg(F.round(100.0 * F.sum(value * F.col("k")) / F.sum("k"), 6).alias("confidence"))
 
 
-@query(r"""SELECT conv_id, count(*) AS n_turns, count(*) FILTER (regexp_matches(t, '(?im)^\s*MR\.\s+\w+\s*:')) AS n_marked, CAST(sum(length(regexp_replace(t, '(?im)^(\s*(?:BY\s+)?(?:MR|MS|MRS|DR)\.\s+\w+\s*:|\s*THE\s+(?:COURT|WITNESS|CLERK|REPORTER|BAILIFF)\s*:|\s*(?:DIRECT|CROSS|REDIRECT|RECROSS)\s+EXAMINATION)', chr(10) || chr(10) || '\1', 'g'))) AS BIGINT) AS n_chars
+@query(rf"""SELECT conv_id, count(*) AS n_turns, count(*) FILTER (regexp_matches(t, '(?im)^\s*MR\.\s+\w+\s*:')) AS n_marked, CAST(sum(length(regexp_replace(t, '{T.SPEAKER}', chr(10) || chr(10) || '\1', 'g'))) AS BIGINT) AS n_chars
            FROM (SELECT conv_id, CASE role WHEN 'user' THEN 'MR. SMITH: ' WHEN 'assistant' THEN 'THE WITNESS: ' ELSE '' END || coalesce(text, '') AS t FROM conversations) GROUP BY conv_id""")
 def speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
