@@ -44,9 +44,8 @@ def corpus_bm25(docs: DataFrame, k1: float = 1.5, b: float = 0.75, avgdl: float
 
 def rake(docs: DataFrame, least: float = 2.0, top: int = 150, longest: int = 3) -> DataFrame:
     """Phrases between stop words and punctuation; a word scores degree / frequency, a phrase the sum of its words."""
-    stop = F.array(*map(F.lit, T.STOPWORDS))
     parts = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_'-]+|[^\p{L}\p{N}_'\s-]|\n"), F.lit(0))
-    good = lambda x: x.rlike(T.TOKEN) & (F.length(x) >= 2) & ~F.array_contains(stop, x)
+    good = lambda x: x.rlike(T.TOKEN) & (F.length(x) >= 2) & ~x.isin(*T.STOPWORDS)
     marked = F.transform(parts, lambda x: F.when(good(x), x).otherwise(F.lit("|")))
     phrases = F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda x: F.btrim(x))
     p = docs.select("doc_id", F.explode(phrases).alias("phrase")).where("phrase <> ''").where(F.size(F.split("phrase", " ")) <= longest)
