@@ -6,8 +6,8 @@ many tokens as its pre-tokens together.  Tier one is a broadcast table of the
 lengths of frequent pre-tokens, at most ``frequent`` of them, from a random sample of
 about ``sample_rows`` documents (it only saves work; any other table gives the
 same counts): each task of the sample sends its commonest pre-tokens, SENT of all
-tasks together at most, and the driver adds them up.  Tier two is a cache in each worker, emptied when it holds
-``cached`` entries; what it lacks is encoded by the library.  No pre-token is
+tasks together at most, and the driver adds them up.  Tier two is a cache in each worker, kept from task to task, that
+takes no more at ``cached`` entries; what it lacks is encoded by the library.  No pre-token is
 shuffled, not even one of the sample, and no row moves.  Texts come in batches
 bounded in bytes, so that a very long one stands alone; other columns are not read.
 
@@ -19,6 +19,7 @@ Repeated rows and null ids are counted like any other row.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -28,12 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, held
 
 LIMIT = 2048
 FREQUENT = 50_000
 SAMPLE_ROWS = 2_000
-CACHED = 400_000
+CACHED = 500_000
 #: Characters of an entry of the first tier.
 LONGEST = 64
 #: Entries that the sample's tasks send to the driver, about.
@@ -89,17 +90,20 @@ def count(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
-        tokenizer, first, cache = Tokenizer.from_str(spec.value), table.value, {}
+        key = hashlib.sha256(spec.value.encode()).digest()
+        tokenizer, cache = held(key, lambda: (Tokenizer.from_str(spec.value), {}))
+        first = table.value
         for part in parts:
             split = [_GAPS.split(t) if t else [] for t in part["t"]]
             words: set[str] = set().union(*split)
             words.discard("")
             new = [w for w in words if w not in first and w not in cache]
-            if len(cache) + len(new) > cached:
-                cache, new = {}, [w for w in words if w not in first]
+            fresh: dict[str, int] = {}
             for k in range(0, len(new), 10_000):
-                cache.update(zip(new[k : k + 10_000], _lengths(tokenizer, new[k : k + 10_000])))
-            both = {w: first[w] if w in first else cache[w] for w in words} | {"": 0}
+                fresh.update(zip(new[k : k + 10_000], _lengths(tokenizer, new[k : k + 10_000])))
+            both = {w: first[w] if w in first else cache[w] if w in cache else fresh[w] for w in words} | {"": 0}
+            if len(cache) + len(fresh) <= cached:
+                cache.update(fresh)
             n = [sum(map(both.__getitem__, ws)) for ws in split]
             yield pd.DataFrame({"doc_id": part["doc_id"], "has_id": part["has_id"], "n_bytes": part["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
