@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import bounded_batches  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Java class of a character that is no ASCII white space.
@@ -32,12 +34,6 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """From now on the session's Arrow batches hold size bytes at most and a row, or what it was set to if that is less: rows alone bound no memory."""
-    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > size:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/lexspark-{what}-{uuid.uuid4().hex}"
