@@ -34,6 +34,8 @@ SHRINK = 32
 CARE = 4
 #: Labelled ids and rejected ones are broadcast up to this many, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of 64 bits of the table that keeps texts without a trusted id out of that shuffle.
+BIT_ROWS = 1 << 20
 #: Words of the window whose repeats are counted.
 REPEAT = 5
 
@@ -78,13 +80,28 @@ def trusted_ids(labels: DataFrame, broadcast_rows: int = BROADCAST_IDS) -> DataF
     return small(stored(ids, "quality-labels"), broadcast_rows)
 
 
-def ratios(docs: DataFrame, ids: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose q_id is in ids (trusted), and a few others; BIT_ROWS rows at most are broadcast. Ids of other types, or of unlike ones, are not told apart."""
+    if (kind := docs.schema["q_id"].dataType.simpleString()) != ids.schema["trusted"].dataType.simpleString() or kind not in ("bigint", "int", "string"):
+        return docs
+    row = lambda c: F.pmod(F.xxhash64(c), F.lit(BIT_ROWS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({c}), 32), 64) as int))")
+    bits = ids.select(row("trusted").alias("q_at"), bit("trusted").alias("q_bit")).groupBy("q_at").agg(F.bit_or("q_bit").alias("q_bits"))
+    near = docs.withColumn("q_at", row("q_id")).join(F.broadcast(bits), "q_at")
+    return near.where(F.col("q_bits").bitwiseAND(bit("q_id")) != 0).drop("q_at", "q_bits")
+
+
+def ratios(docs: DataFrame, ids: DataFrame, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
     """(cell, ratio) for each cell of the raw corpus, BUCKETS rows at most."""
     good = ids.where("quality = 1").select(F.col("doc_id").alias("trusted"))
-    h = docs.select(F.col(key).alias("q_id"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("q_h"))
-    h = h.join(good, F.col("q_id") == F.col("trusted"), "left").select(F.col("trusted").isNotNull().cast("long").alias("good"), grams("q_h").alias("cells"))
+    d, same = docs.select(F.col(key).alias("q_id"), F.col(text).alias("q_text")), F.col("q_id") == F.col("trusted")
+    if good.count() <= broadcast_rows:
+        d = d.join(F.broadcast(good), same, "left").select("q_text", F.lit(1).alias("raw"), F.col("trusted").isNotNull().cast("int").alias("good"))
+    else:  # only the trusted texts are shuffled
+        d = d.select("q_text", F.lit(1).alias("raw"), F.lit(0).alias("good")).union(likely(d, good).join(good, same).select("q_text", F.lit(0), F.lit(1)))
+    h = d.select("raw", "good", F.transform(words(F.col("q_text")), lambda w: F.xxhash64(w)).alias("q_h")).select("raw", "good", grams("q_h").alias("cells"))
     # An inner explode would infer a filter on the array, and its pushdown would inline q_h into the lambda: quadratic in a text's words.
-    n = stored(h.select("good", F.explode_outer("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).where("cell is not null"), "quality-cells")
+    n = stored(h.select("raw", "good", F.explode_outer("cells").alias("cell")).groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("good").alias("target")).where("cell is not null"), "quality-cells")
     raw, target = n.agg(F.sum("raw"), F.sum("target")).first()
     p = lambda c, total: (F.col(c) + ALPHA) / (float(total or 0) + ALPHA * BUCKETS)
     return n.select("cell", F.log(p("target", target) / p("raw", raw)).alias("ratio"))
@@ -93,7 +110,7 @@ def ratios(docs: DataFrame, ids: DataFrame, text: str = "text", key: str = "doc_
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_IDS, carry: tuple[str, ...] = ()) -> tuple[DataFrame, float]:
     """Counts, score and labels of every row of docs (with the columns carry), and the threshold."""
     ids = trusted_ids(labels, broadcast_rows)
-    model = F.broadcast(ratios(docs, ids, text, key))
+    model = F.broadcast(ratios(docs, ids, text, key, broadcast_rows))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     d = docs.select(F.col(key).alias("q_id"), F.col(text).alias("q_text"), *[F.col(c).alias(f"q_carry_{c}") for c in carry])
     d = counted(d, "q_text").withColumn("q_row", F.monotonically_increasing_id())

@@ -16,7 +16,7 @@ def test_every_label_counts(spark):
     # five words and four pairs a text; the first word stands in all of them
     p = lambda c, m: (c + quality.ALPHA) / (9 * m + quality.ALPHA * quality.BUCKETS)
     want = math.log(p(n // 2, n // 2) / p(n, n))
-    assert any(abs(x.ratio - want) < 1e-9 for x in quality.ratios(docs, ids).collect())
+    assert any(abs(x.ratio - want) < 1e-9 for x in quality.ratios(docs, ids, broadcast_rows=100_000).collect())
 
 
 @pytest.mark.parametrize("rows", [0, 5])
